@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from trendloom.llm import exact_dedup
+from trendloom.llm import exact_dedup, packing, simhash, tokens
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op4_packing": packing.query,
+    "op5_simhash": simhash.query,
+    "op6_token_counts": tokens.query,
 }
 
 ORACLE_SQL = {
