@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from trendloom.llm import exact_dedup, packing, simhash, tokens
+from trendloom.llm import exact_dedup, langid, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op3_language": langid.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
     "op6_token_counts": tokens.query,
+    "op9_quality": quality.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
