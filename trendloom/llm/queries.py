@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendloom.llm import exact_dedup, langid, packing, quality, simhash, tokens, toxicity
+from trendloom.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,10 +10,14 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
     "op6_token_counts": tokens.query,
+    "op7_mixing": mixing.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_quality": quality.query,
     "op10_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op7_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
