@@ -40,6 +40,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A second, independent scan of a table that materialize() wrote."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._trendloom_path)
+    out._trendloom_path = df._trendloom_path
+    return out
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_trendloom_path", None)

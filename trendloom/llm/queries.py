@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trendloom.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
+from trendloom.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_language": langid.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,

@@ -191,7 +191,9 @@ def links(fps: DataFrame, n: int, per_bucket: int = 4_000_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
-    """docs(doc_id, ...) without the text, with _fp and component_id, the smallest id reachable by links.
+    """docs(doc_id, ...) without the text, with _fp, _label and component_id, the smallest id reachable by links.
+
+    _label, the smallest fingerprint reachable, tells components apart even where ids repeat.
 
     Null and empty texts, and texts of white space alone, have fingerprint zero
     and link like any other. Repeated rows share a fingerprint. Null ids never
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "_fp", "_low", F.coalesce("component", "_fp").alias("_label")
     )
     low = named.groupBy("_label").agg(F.min("_low").alias("component_id"))
-    return fp.join(named.join(low, "_label").select("_fp", "component_id"), "_fp", "left")
+    return fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

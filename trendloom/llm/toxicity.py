@@ -25,7 +25,7 @@ BITS = 19
 #: Buckets of single presences; those of repeated presences follow.
 SIZE = len(ORDERS) << BITS
 #: Labelled rows that the classifier is fitted on, at most.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 5_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,15 +74,17 @@ def fit(texts: list[str], labels: np.ndarray, least_rows: int = 3, least_ratio:
     prior = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not 0 < positive < n:
         return Model(np.zeros(size, np.float32), prior)
-    grams = [features(gram_hashes(np.frombuffer((t or "").encode(), np.uint8))) for t in texts]
-    p, q = np.ones(size), np.ones(size)
-    for g, label in zip(grams, y, strict=True):
-        (p if label else q)[g] += 1
-    ratio = np.log(p / (positive + 1)) - np.log(q / (n - positive + 1))
+    made = lambda t: features(gram_hashes(np.frombuffer((t or "").encode(), np.uint8)))
+    p, q = np.ones(size, np.float32), np.ones(size, np.float32)
+    for t, label in zip(texts, y, strict=True):
+        (p if label else q)[made(t)] += 1
+    ratio = np.log(p / np.float32(positive + 1)) - np.log(q / np.float32(n - positive + 1))
     ratio[(p + q - 2 < least_rows) | (np.abs(ratio) < least_ratio)] = 0
-    columns = [g[ratio[g] != 0] for g in grams]
+    del p, q
+    telling = ratio != 0
+    columns = [g[telling[g]].astype(np.int32) for g in map(made, texts)]  # made anew: all of them at once take too much memory
     sizes = np.array([len(c) for c in columns])
-    flat = np.concatenate(columns) if sizes.sum() else np.zeros(0, np.int64)
+    flat = np.concatenate(columns) if sizes.sum() else np.zeros(0, np.int32)
     used, at = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(n), sizes)
     scale = 1 / np.sqrt(np.maximum(1.0, np.bincount(row, ratio[flat] ** 2, n).mean()))
