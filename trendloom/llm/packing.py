@@ -117,7 +117,7 @@ def fillings(left: dict[int, int], capacity: int, most_waste: int, keep: int = 3
     return [found[w] for w in sorted(found)[:keep]]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000) -> list[tuple[list[int], int]]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 1_500) -> list[tuple[list[int], int]]:
     """A packing [(lengths of one sequence, repetitions)] of all counted pieces into few sequences.
 
     The incumbent is best-fit decreasing; the search stops at the lower bound
