@@ -121,7 +121,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     """A packing [(lengths of one sequence, repetitions)] of all counted pieces into few sequences.
 
     The incumbent is best-fit decreasing; the search stops at the lower bound
-    ceil(total / capacity), or after `nodes` nodes, with the best packing so far.
+    ceil(total / capacity), or `nodes` nodes beyond two whole descents, with the best packing so far.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     best = best_fit(counts, capacity)
@@ -130,7 +130,8 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     bound = -(-total // capacity)
     stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
     seen = 0
-    while stack and bins > bound and seen < nodes:
+    most = nodes + 2 * len(best)  # always enough for a whole descent
+    while stack and bins > bound and seen < most:
         left, plan, used, waste = stack.pop()
         seen += 1
         if not left:
