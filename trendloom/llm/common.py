@@ -163,9 +163,3 @@ def bounded_sample(rows: DataFrame, key: str, most: int):
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000))
     return share < int(1_000_000 * most / n)
 
-
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs of bytes other than ASCII white space."""
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

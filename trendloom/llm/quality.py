@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer, word_bounds
+from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer
 
 SHAPES, GRAMS = 2048, 1024
 #: Labelled rows that the space is fitted on and that vote, at most.
@@ -69,16 +69,15 @@ def raw_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     for first, counts in ((0, shape), (SHAPES, grams)):
         total = np.maximum(1, counts.sum(axis=1, keepdims=True))
         out[:, first : first + counts.shape[1]] = np.sqrt(counts / total)
-    start, end = word_bounds(raw)
-    cut = np.searchsorted(start, at[1:-1])  # words never run over a text's end: cut them there
-    start, end = np.insert(start, cut, at[1:-1]), np.insert(end, cut, at[1:-1])
-    end = np.minimum(end, at[np.searchsorted(at, start, side="right")])
-    start, end = start[end > start], end[end > start]
+    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    turn = np.concatenate(([True], row[1:] != row[:-1], [True]))  # words never run over a text's end
+    start = np.flatnonzero(solid & (turn[:-1] | ~np.concatenate(([False], solid[:-1]))))
+    end = np.flatnonzero(solid & (turn[1:] | ~np.concatenate((solid[1:], [False])))) + 1
     if len(start):
         power = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
         place = np.arange(n) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [n]))))
         code = np.add.reduceat(np.append((b + np.uint64(1)) * power[place & 63], np.uint64(0)), np.stack([start, end], 1).ravel())[::2]
-        owner = np.searchsorted(at, start, side="right") - 1
+        owner = row[start]
         again = np.concatenate(([False], (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])))
         words = np.bincount(owner, minlength=rows)
         share = np.bincount(owner[again], minlength=rows) / np.maximum(1, words)
