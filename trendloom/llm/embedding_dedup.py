@@ -84,29 +84,30 @@ def _unit(batch: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _indexed(index, dim: int, label: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, unit = _unit(batch.column(2), dim)
-            x = _padded(unit)
-            near = _nearest(x, own.centroids)
-            rest = x - own.centroids[near]
-            codes = np.stack([_nearest(p, b) for p, b in zip(np.split(rest, SUBSPACES, axis=1), own.books, strict=True)], axis=1).astype(np.uint8)
-            decoded = own.centroids[near] + np.concatenate([own.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
-            error = np.linalg.norm(x - decoded, axis=1)
-            far = ((own.centroids**2).sum(axis=1) - 2 * x @ own.centroids.T) + 1
-            apart = np.linalg.norm(own.centroids[near][:, None] - own.centroids[None], axis=2)
-            gap = (far - far[np.arange(len(x)), near][:, None]) / (2 * np.maximum(apart, 1e-9))
-            rows, lists = np.nonzero((gap <= own.margin) | (apart < 1e-9))
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(x))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2), batch.column(3),
-                    pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.int32))),
-                ],
-                names=["_rep", label, "_v", "_mult", "_list", "_codes", "_error", "_probes"],
-            )
+        square = (own.centroids**2).sum(axis=1)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                _, unit = _unit(batch.column(2), dim)
+                x = _padded(unit)
+                near = _nearest(x, own.centroids)
+                rest = x - own.centroids[near]
+                codes = np.stack([_nearest(p, b) for p, b in zip(np.split(rest, SUBSPACES, axis=1), own.books, strict=True)], axis=1).astype(np.uint8)
+                decoded = own.centroids[near] + np.concatenate([own.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
+                error = np.linalg.norm(x - decoded, axis=1)
+                far = square - 2 * x @ own.centroids.T
+                apart = np.sqrt(np.maximum(square[near][:, None] + square - 2 * own.centroids[near] @ own.centroids.T, 0))
+                gap = (far - far[np.arange(len(x)), near][:, None]) / (2 * np.maximum(apart, 1e-9))
+                rows, lists = np.nonzero((gap <= own.margin) | (apart < 1e-6))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(x))))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), batch.column(2), batch.column(3),
+                        pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.int32))),
+                    ],
+                    names=["_rep", label, "_v", "_mult", "_list", "_codes", "_error", "_probes"],
+                )
 
     return run
 
