@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import materialize
+
 SEED = 20240
+#: Rates of so many sources, each at most so high, are broadcast: under 40 MB.
+MOST_SOURCES, MOST_RATE = 10_000, 200.0
 #: 2^52: uniform numbers are 13 hexadecimal digits of an MD5.
 _UNIT = 4503599627370496.0
 
@@ -68,12 +72,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, text: str = "t
 
     Rows with the same id draw the same number. Null ids draw as the empty
     string. Rows drawn zero times are absent. Empty in, empty out. Columns named
-    copy or shuffle_key are replaced. The rates are one row for each source; which
-    join brings them to the documents is left to the planner, which knows their size,
-    and adaptive execution splits a source that holds most rows.
+    copy or shuffle_key are replaced. The rates are one row for each source. They are
+    counted: up to MOST_SOURCES they are broadcast, so that documents are not shuffled by
+    source; beyond that the planner joins them, and adaptive execution splits a
+    source that holds most rows.
     """
     own = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    rated = with_distribution(rates(docs, weights, text, source, epochs)).select("_source", "_cumulative")
+    rated = materialize(rates(docs, weights, text, source, epochs), "mix-rates")
+    few = rated.count() <= MOST_SOURCES and (rated.agg(F.max("_rate")).first()[0] or 0) <= MOST_RATE
+    rated = with_distribution(rated).select("_source", "_cumulative")
+    rated = F.broadcast(rated) if few else rated
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
     named = docs.withColumn("_source", F.coalesce(F.col(f"`{source}`"), F.lit("")))
     drawn = named.join(rated, "_source").withColumn("_u", _uniform(F.lit(str(seed)), ident))
