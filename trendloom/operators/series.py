@@ -132,6 +132,15 @@ def brand_rollup(series: DataFrame, brands: DataFrame, key: str = "entity_id") -
     )
 
 
+def with_trend_of_brands(series: DataFrame, brands: DataFrame) -> DataFrame:
+    """The brand roll-up with the trend state against the brand's last active day."""
+    r = brand_rollup(series, brands)
+    w = Window.partitionBy("brand").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(F.col("mention_count") > 0, F.col("composite_score")), ignorenulls=True).over(w), F.lit(0.0))
+    r = r.withColumn("prev_score", before)
+    return r.withColumn("trend_state", S.trend_state(F.col("composite_score"), F.col("prev_score"), F.col("growth_rate"), F.col("momentum"), F.col("mention_count")))
+
+
 def weighted_scores(series: DataFrame, hits: DataFrame, key: str = "entity_id") -> DataFrame:
     """Score raised by the mean source score of the day's mentions, at most 100; rows with mentions only."""
     score = S.source_score(F.col("platform"), F.col("views"), F.col("likes"), F.col("comments")).cast("decimal(10,4)")
