@@ -107,7 +107,7 @@ def normalize_reddit(raw: DataFrame) -> DataFrame:
 
 def normalize_enrichment(raw: DataFrame) -> DataFrame:
     """Scraped strings to typed columns; lists split on commas and semicolons."""
-    items = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+    items = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return raw.select(
         F.nullif(F.trim("perfume_name"), F.lit("")).alias("perfume_name"), F.nullif(F.trim("brand_name"), F.lit("")).alias("brand_name"),
         *[items(c).alias(c) for c in ("accords", "notes_top", "notes_middle", "notes_base")], F.col("rating_value").try_cast("double").alias("rating_value"),
