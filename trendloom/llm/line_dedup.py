@@ -114,6 +114,7 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     near = materialize(near, "line-windows")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"), "a", "b")
     first = near.groupBy("k1", "k2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = materialize(first, "line-firsts")  # a table of its own: the join shuffles both sides, and a frequent window's rows can be split
     later = near.join(first, ["k1", "k2"]).where((F.col("_row") != F.col("_first.row")) | (F.col("a") > F.col("_first.b")))
     return later.groupBy("_row").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
 
