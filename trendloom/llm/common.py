@@ -11,10 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that contracts name: blank and \t \n \v \f \r.
-SPACES = r"[\x20\x09-\x0D]+"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -92,14 +88,16 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
         if mark[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
+        # minima are tables of their own, so that each join shuffles both sides and a hub's rows can be split
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
+        large = materialize(
             both.where(F.col("v") > F.col("u"))
             .join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
+            .distinct(),
+            tag,
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -108,7 +106,8 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
             .distinct()
         )
         new = materialize(small, tag)
-        drop(now)
+        for used in (now, low, large, least):
+            drop(used)
         now, before = new, mark
         mark = _mark(now)
         if mark == before:
@@ -162,4 +161,3 @@ def bounded_sample(rows: DataFrame, key: str, most: int):
         return F.lit(True)
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000))
     return share < int(1_000_000 * most / n)
-

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = own.join(labels, own["_fp"] == labels["node"], "left").select(
         "_fp", "_low", F.coalesce("component", "_fp").alias("_label")
     )
-    low = named.groupBy("_label").agg(F.min("_low").alias("component_id"))
+    low = materialize(named.groupBy("_label").agg(F.min("_low").alias("component_id")), "simhash-low")
     return fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
 
 
