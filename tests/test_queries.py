@@ -14,9 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def cells(frame: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return "NULL"
-        if isinstance(x, (float, np.floating)):
+        if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, (bool, np.bool_)):
             return repr(round(float(x), 6) + 0.0)
         if isinstance(x, pd.Timestamp) or type(x).__name__ == "date":
             return str(pd.Timestamp(x))
