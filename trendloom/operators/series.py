@@ -16,11 +16,15 @@ from trendloom.functions.text import base_name
 
 
 def entity_hits(content: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row for each (item, base entity): variants of one name count once, the first supplies the confidence."""
-    each = resolved.select("content_item_id", F.posexplode("entities").alias("pos", "e"))
-    named = each.select("content_item_id", "pos", base_name(F.col("e.name")).alias("entity_id"), F.col("e.confidence").alias("confidence"))
-    first = named.groupBy("content_item_id", "entity_id").agg(F.min(F.struct("pos", "confidence")).alias("f"))
-    return content.join(first.select("content_item_id", "entity_id", F.col("f.confidence").alias("confidence")), "content_item_id")
+    """One row for each (item, base entity): variants of one name count once, the first supplies the confidence.
+
+    resolved has one row for each item, so variants are merged inside its array, without a shuffle.
+    """
+    named = F.transform("entities", lambda e: F.struct(base_name(e["name"]).alias("entity_id"), e["confidence"].alias("confidence")))
+    rows = resolved.select("content_item_id", named.alias("e")).withColumn("k", F.col("e.entity_id"))
+    first = F.filter("e", lambda x, i: F.array_position("k", x["entity_id"]) == i + 1)
+    each = rows.select("content_item_id", F.explode(first).alias("e")).select("content_item_id", "e.*")
+    return content.join(each, "content_item_id")
 
 
 def daily_counts(hits: DataFrame, key: str = "entity_id") -> DataFrame:
