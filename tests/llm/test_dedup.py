@@ -170,3 +170,25 @@ def test_embedding_edges(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], schema)).count() == 0
     out = embedding_dedup.embedding_links(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], schema)).collect()
     assert sorted((r.vec_id or 0, r.n_links) for r in out) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_similar_documents_recall_and_precision(spark):
+    random.seed(7)
+    rows, similarity = [], []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for g in range(120):
+        base = random.choices(vocabulary, k=200)
+        copy = list(base)
+        for i in random.sample(range(200), (1, 2, 30)[g % 3]):
+            copy[i] = "x"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        a, b = (set(zip(*[t[k:] for k in range(5)])) for t in (base, copy))
+        similarity.append(len(a & b) / len(a | b))
+    rows += [(900, None), (901, ""), (None, "w1 w2")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and got[901] == 900
+    found = np.array([got[2 * g + 1] == 2 * g for g in range(120)])
+    s = np.array(similarity)
+    assert found[s >= 0.9].mean() >= 0.95 and not found[s < 0.6].any()
+    assert all(got[2 * g] == 2 * g for g in range(120))
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

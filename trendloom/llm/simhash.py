@@ -20,7 +20,9 @@ are linked at all. Each star edge is verified by its bit distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,15 @@ _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _masks() -> np.ndarray:
-    one = [1 << i for i in range(64)]
-    two = [1 << (h + i) | 1 << (h + j) for h in (0, 32) for i in range(32) for j in range(i + 1, 32)]
+@lru_cache
+def masks(bits: int) -> np.ndarray:
+    """Flips of the low bits: none, each single one, and each pair inside one half; the first 1 + bits flip at most one."""
+    half = bits // 2
+    one = [1 << i for i in range(bits)]
+    two = [1 << (h + i) | 1 << (h + j) for h in (0, half) for i in range(half) for j in range(i + 1, half)]
     return np.array([0, *one, *two], dtype=np.uint64)
 
 
-_MASKS = _masks()
-_SINGLE = 65  # masks before this index flip at most one bit
-
-
 def shingle_hashes(text: bytes, words: int) -> list[int]:
     """XXH64 of each word shingle of an ASCII-lower-cased text, repeats included."""
     tokens = text.lower().split()
@@ -79,26 +80,41 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """docs with a column _fp long (64 bits) in place of the text; null text has fingerprint zero."""
+def remixed(hashes: np.ndarray, copy: int) -> np.ndarray:
+    """Another hash of each shingle, from its first one; copy 0 is the hash itself."""
+    if not copy:
+        return hashes
+    h = hashes + np.uint64(copy) * _MIX
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, copies: int = 1) -> DataFrame:
+    """docs with _fp long (64 bits), and _fp1, _fp2, ... of further copies, in place of the text; null text has fingerprint zero."""
     others = [c for c in docs.columns if c != text]
-    schema = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("_fp")).schema
+    made = ["_fp", *[f"_fp{k}" for k in range(1, copies)]]
+    schema = docs.select(*[F.col(f"`{c}`") for c in others], *[F.lit(0).cast("long").alias(c) for c in made]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_buffer(batch.column(batch.schema.get_field_index(text)))
-            found = np.zeros(batch.num_rows, np.uint64)
+            found = np.zeros((copies, batch.num_rows), np.uint64)
             for i, j in slices(at, 2 << 20):
                 each = [shingle_hashes(raw[at[r] : at[r + 1]].tobytes(), words) for r in range(i, j)]
                 sizes = np.array([len(x) for x in each], np.int64)
-                found[i:j] = majority(np.array([h for x in each for h in x], np.uint64), sizes)
+                hashes = np.array([h for x in each for h in x], np.uint64)
+                for k in range(copies):
+                    found[k, i:j] = majority(remixed(hashes, k), sizes)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], names=[*others, "_fp"])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(f.view(np.int64)) for f in found]], names=[*others, *made])
 
     return docs.mapInArrow(run, schema)
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, bits: int):
+    both, single = masks(bits), masks(bits)[: 1 + bits]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -106,9 +122,9 @@ def _emit(buckets: int):
                 part = fps[i : i + 2048]
                 odd = (np.bitwise_count(part) & 1).astype(bool)
                 points, codes = [], []
-                for own, masks in ((part[odd], _MASKS[:_SINGLE]), (part[~odd], _MASKS)):
-                    points.append((own[:, None] ^ masks[None, :]).ravel())
-                    codes.append(np.tile(np.arange(len(masks), dtype=np.uint16), len(own)))
+                for own, flips in ((part[odd], single), (part[~odd], both)):
+                    points.append((own[:, None] ^ flips[None, :]).ravel())
+                    codes.append(np.tile(np.arange(len(flips), dtype=np.uint16), len(own)))
                 points, codes = np.concatenate(points), np.concatenate(codes)
                 to = ((points * _MIX) >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(to.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
@@ -127,7 +143,7 @@ def _emit(buckets: int):
     return run
 
 
-def stars(points: np.ndarray, codes: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def stars(points: np.ndarray, codes: np.ndarray, bits: int = 64, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Verified edges (fingerprint, fingerprint) between the variants that meet in one bucket, a forest of them."""
     order = np.argsort(points, kind="stable")
     points = points[order]
@@ -141,9 +157,9 @@ def stars(points: np.ndarray, codes: np.ndarray, radius: int = 3) -> tuple[np.nd
     first = np.concatenate(([True], points[1:] != points[:-1]))
     group = np.cumsum(first) - 1
     lead = np.flatnonzero(first)
-    own = points ^ _MASKS[codes]
+    own = points ^ masks(bits)[codes]
     centre = own[lead][group]
-    near = (codes[lead] < _SINGLE)[group] & ~first
+    near = (codes[lead] <= bits)[group] & ~first
     a, b = np.minimum(own, centre)[near], np.maximum(own, centre)[near]
     close = np.bitwise_count(a ^ b) <= radius
     pairs = np.unique(np.stack([a[close], b[close]], axis=1), axis=0)
@@ -171,23 +187,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    points = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("points").to_pylist()])
-    codes = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("codes").to_pylist()])
-    a, b = stars(points, codes)
-    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+def _meet(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        points = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("points").to_pylist()])
+        codes = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("codes").to_pylist()])
+        a, b = stars(points, codes, bits)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return run
 
 
-def links(fps: DataFrame, n: int, per_bucket: int = 4_000_000) -> DataFrame:
-    """Edges (a, b) that connect exactly the n distinct fingerprints of fps(_fp) within three bits.
+def links(fps: DataFrame, n: int, bits: int = 64, per_bucket: int = 4_000_000) -> DataFrame:
+    """Edges (a, b) that connect exactly the n distinct fingerprints of fps(_fp) within three of the low bits.
 
     per_bucket is the mean number of variants that one task sorts (10 bytes
     each), which sets the number of buckets; it drops nothing.
     """
     spark = fps.sparkSession
-    buckets = max(shuffle_partitions(spark), -(-n * 561 // per_bucket))
-    sent = fps.select("_fp").mapInArrow(_emit(buckets), "bucket int, points binary, codes binary")
-    return sent.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    variants = (len(masks(bits)) + 1 + bits) // 2
+    buckets = max(shuffle_partitions(spark), -(-n * variants // per_bucket))
+    sent = fps.select("_fp").mapInArrow(_emit(buckets, bits), "bucket int, points binary, codes binary")
+    return sent.groupBy("bucket").applyInArrow(_meet(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
@@ -204,6 +224,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = materialize(fp.groupBy("_fp").agg(F.min(f"`{doc_id}`").alias("_low")), "simhash-distinct")
     edges = links(own, own.count())
     labels = components(edges, "simhash-links")
+    return _labelled(fp, own, labels)
+
+
+def _labelled(fp: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
     named = own.join(labels, own["_fp"] == labels["node"], "left").select(
         "_fp", "_low", F.coalesce("component", "_fp").alias("_label")
     )
@@ -211,6 +235,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
 
 
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, bands: int = 4, band_bits: int = 40) -> DataFrame:
+    """Like near_duplicates, for shingle sets of a Jaccard similarity of about `similarity` or more.
+
+    Fingerprints of such pairs differ in far more than three of 64 bits, and balls of that
+    radius are too large to emit. So a document has `bands` independent fingerprints. Candidates
+    are documents within three bits in the low `band_bits` of any one of them, found by the same
+    meeting in the middle; a candidate is a link if all fingerprints together (256
+    bits) differ in no more bits than the similarity's angle allows. Documents with equal bands are
+    compared with one representative of the band's value, and so are values that meet.
+    """
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of equal size
+    most = math.floor(64 * bands * math.acos(cosine) / math.pi)
+    names = ["_fp", *[f"_fp{k}" for k in range(1, bands)]]
+    fp = materialize(fingerprints(docs, text, words, bands), "simhash")
+    others = F.min(F.struct(*names[1:])).alias("_o")
+    own = materialize(fp.groupBy("_fp").agg(F.min(f"`{doc_id}`").alias("_low"), others).select("_fp", "_low", "_o.*"), "simhash-distinct")
+    whole, low = F.struct(*names), F.lit((1 << band_bits) - 1)
+    points = F.array(*[F.col(n).bitwiseAND(low).bitwiseOR(F.lit(k << band_bits)) for k, n in enumerate(names)])
+    each = own.select(whole.alias("_w"), F.explode(points).alias("_point"))
+    first = materialize(each.groupBy("_point").agg(F.min("_w").alias("_r")), "simhash-bands")
+    met = materialize(links(first.select(F.col("_point").alias("_fp")), first.count(), band_bits), "simhash-meetings")
+    same = each.join(first, "_point").select(F.col("_w").alias("x"), F.col("_r").alias("y"))
+    one, two = (first.select(F.col("_point").alias(k), F.col("_r").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    apart = met.join(one, "a").join(two, "b").select("x", "y")
+    differ = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
+    pairs = same.unionByName(apart).where((F.col("x._fp") != F.col("y._fp")) & (differ <= most))
+    labels = components(pairs.select(F.col("x._fp").alias("a"), F.col("y._fp").alias("b")), "simhash-links")
+    return _labelled(fp, own, labels)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: fingerprints of three-word shingles of all documents, linked at three or fewer differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
