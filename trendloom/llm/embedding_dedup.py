@@ -239,3 +239,20 @@ def _search(classes: DataFrame, dim: int, threshold: float, sigmas: float) -> Da
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: links of cosine 0.93 and more between all vectors of a label."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+    WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, min(reach.b) AS component_id, min(reach.b) = v.vec_id AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+"""

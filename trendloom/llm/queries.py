@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
