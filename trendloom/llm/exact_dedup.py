@@ -17,15 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import SPACES, materialize
+from trendloom.llm.common import materialize
 
 #: Buckets in which distinct values are sorted and counted off; a name is bucket * 2^40 + rank.
 BUCKETS = 1 << 16
 
 
 def normalized(text: Column) -> Column:
-    """The text with each run of white space as one blank; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    """The text with each run of white space as one blank; null counts as empty.
+
+    Byte-wise replacements turn every white-space character into a blank; the regular expression
+    runs only on texts in which blanks then follow each other.
+    """
+    blanks = F.coalesce(text, F.lit(""))
+    for c in "\t\n\v\f\r":
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    return F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks)
 
 
 def _named(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,23 +96,22 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     """
     out = ["keep_id", "group_size", "kept", "text_sha256"]
     own = [c for c in docs.columns if c.lower() not in out]
-    base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_in"),
-        F.col(f"`{doc_id}`").alias("_id"),
-        normalized(F.col(f"`{text}`")).alias("_text"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    same = block_identities(base.select("_row", "_text"), block)
-    members = base.select("_row", "_id").join(same, "_row")
+    named = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(own)]
+    placed = docs.select(*named, F.monotonically_increasing_id().alias("_row"))
+    key, content = F.col(f"_c{own.index(doc_id)}"), normalized(F.col(f"_c{own.index(text)}"))
+    same = block_identities(placed.select("_row", content.alias("_text")), block)
+    members = placed.select("_row", key.alias("_id")).join(same, "_row")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     groups = members.groupBy("_blocks", "_name").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    groups = materialize(groups, "copies")  # a table of its own: the join shuffles both sides, and a large group's rows can be split
     told = members.join(groups, ["_blocks", "_name"]).select("_row", "_first", "_size")
-    return base.join(told, "_row", "left").select(
-        "_in.*",
-        F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"),
+    hashed = placed.withColumn("_sha", F.sha2(content.cast("binary"), 256))  # before the join, which then need not move texts
+    return hashed.join(told, "_row", "left").select(
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(own)],
+        F.when(F.col("_size").isNull(), key).otherwise(F.col("_first.id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("_size").isNull() | (F.col("_first.row") == F.col("_row"))).alias("kept"),
-        F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
+        F.col("_sha").alias("text_sha256"),
     )
 
 
