@@ -192,3 +192,34 @@ def test_similar_documents_recall_and_precision(spark):
     assert found[s >= 0.9].mean() >= 0.95 and not found[s < 0.6].any()
     assert all(got[2 * g] == 2 * g for g in range(120))
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def _similar_brute(rows):
+    """The smallest id that exact links of similarity 0.8 reach from each id."""
+    sets, near = {i: _shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in rows:
+        before = dict(near)
+        for i, j in linked:
+            near[i] = near[j] = min(near[i], near[j])
+        if near == before:
+            break
+    return near
+
+
+def _similar_got(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_similar_documents_keep_those_that_share_boilerplate(spark):
+    random.seed(8)
+    shared = [f"b{i}" for i in range(166)]
+    rows = [(i, " ".join(shared + random.choices([f"w{k}" for k in range(9000)], k=34))) for i in range(300)]
+    a, b = _shingles(rows[0][1]), _shingles(rows[1][1])
+    assert 0.68 < len(a & b) / len(a | b) < 0.72
+    assert _similar_got(spark, rows) == {i: i for i, _ in rows}

@@ -20,7 +20,6 @@ are linked at all. Each star edge is verified by its bit distance.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import components, materialize, shuffle_partitions, slices, text_buffer
+from trendloom.llm.common import again, components, drop, materialize, shuffle_partitions, slices, text_buffer
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: Min-hash keys of a document in similar_documents, and minima in each: pairs of similarity 0.8 share a key with probability 1 - (1 - 0.8 ** 6) ** 30.
+BANDS, BAND_ROWS = 30, 6
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 @lru_cache
 def masks(bits: int) -> np.ndarray:
@@ -235,34 +238,97 @@ def _labelled(fp: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
     return fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, bands: int = 4, band_bits: int = 40) -> DataFrame:
-    """Like near_duplicates, for shingle sets of a Jaccard similarity of about `similarity` or more.
+def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """docs with _node (a hash of the shingle set, equal for equal sets), _keys (min-hash bands), and _n (size of the set), in place of the text."""
+    others = [c for c in docs.columns if c != text]
+    schema = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("_node"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).alias("_n")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            _, ends = text_buffer(whole.column(whole.schema.get_field_index(text)))
+            for i, j in slices(ends, 2 << 20):
+                batch = whole.slice(i, j - i)
+                raw, at = text_buffer(batch.column(batch.schema.get_field_index(text)))
+                sets = [np.unique(np.array(shingle_hashes(raw[a:b].tobytes(), words), np.uint64)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.view(np.int64)), keys, pa.array([len(x) for x in sets], pa.int32())], names=[*others, "_node", "_keys", "_n"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BANDS keys for each set: hashes of BAND_ROWS minima each, under as many different orders of the shingles."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    full = np.flatnonzero([len(x) for x in sets])
+    if not len(full):
+        return out
+    flat = np.concatenate([sets[k] for k in full])
+    lead = np.concatenate(([0], np.cumsum([len(sets[k]) for k in full])[:-1]))
+    for b in range(BANDS):
+        key = np.full(len(full), b + 1, np.uint64)
+        for r in range(BAND_ROWS):
+            key = remixed(key ^ np.minimum.reduceat(flat * _ORDERS[b * BAND_ROWS + r], lead), 1)
+        out[full, b] = key
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs(a, b) of nodes whose texts(_node, _text) have an exact Jaccard similarity of `similarity` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lru_cache(64)(lambda t: np.unique(np.array(shingle_hashes(t.encode(), words), np.uint64)))
+        for batch in batches:
+            near = pa.array([_similar(held(x.as_py() or ""), held(y.as_py() or ""), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    one, two = (texts.select(F.col("_node").alias(k), F.col("_text").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
-    Fingerprints of such pairs differ in far more than three of 64 bits, and balls of that
-    radius are too large to emit. So a document has `bands` independent fingerprints. Candidates
-    are documents within three bits in the low `band_bits` of any one of them, found by the same
-    meeting in the middle; a candidate is a link if all fingerprints together (256
-    bits) differ in no more bits than the similarity's angle allows. Documents with equal bands are
-    compared with one representative of the band's value, and so are values that meet.
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Like near_duplicates, for shingle sets of an exact Jaccard similarity of `similarity` or more; _fp is a hash of the set.
+
+    Fingerprints of such pairs differ in about ten of 64 bits, and balls of that radius are too
+    large to emit. So candidates are documents that share one of BANDS min-hash keys, which pairs
+    of similarity 0.8 do with a probability of 0.9999; every link is decided by the two sets.
+    First each key's members meet its smallest one. Then all pairs of a key whose
+    components still differ are compared, so a centre that fails hides no link of the others; a
+    group of near copies is one component by then and costs no pairs. Pairs whose sizes alone
+    exclude the similarity are not compared. docs has to be a stable source: texts of candidates are read again by their place.
     """
-    cosine = 2 * similarity / (1 + similarity)  # of two sets of equal size
-    most = math.floor(64 * bands * math.acos(cosine) / math.pi)
-    names = ["_fp", *[f"_fp{k}" for k in range(1, bands)]]
-    fp = materialize(fingerprints(docs, text, words, bands), "simhash")
-    others = F.min(F.struct(*names[1:])).alias("_o")
-    own = materialize(fp.groupBy("_fp").agg(F.min(f"`{doc_id}`").alias("_low"), others).select("_fp", "_low", "_o.*"), "simhash-distinct")
-    whole, low = F.struct(*names), F.lit((1 << band_bits) - 1)
-    points = F.array(*[F.col(n).bitwiseAND(low).bitwiseOR(F.lit(k << band_bits)) for k, n in enumerate(names)])
-    each = own.select(whole.alias("_w"), F.explode(points).alias("_point"))
-    first = materialize(each.groupBy("_point").agg(F.min("_w").alias("_r")), "simhash-bands")
-    met = materialize(links(first.select(F.col("_point").alias("_fp")), first.count(), band_bits), "simhash-meetings")
-    same = each.join(first, "_point").select(F.col("_w").alias("x"), F.col("_r").alias("y"))
-    one, two = (first.select(F.col("_point").alias(k), F.col("_r").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    apart = met.join(one, "a").join(two, "b").select("x", "y")
-    differ = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
-    pairs = same.unionByName(apart).where((F.col("x._fp") != F.col("y._fp")) & (differ <= most))
-    labels = components(pairs.select(F.col("x._fp").alias("a"), F.col("y._fp").alias("b")), "simhash-links")
-    return _labelled(fp, own, labels)
+    place = docs.withColumn("_place", F.monotonically_increasing_id())
+    fp = materialize(shingle_sets(place, text, words), "similar-sets")
+    own = materialize(fp.groupBy(F.col("_node").alias("_fp")).agg(F.min(f"`{doc_id}`").alias("_low"), F.min("_place").alias("_place")), "similar-distinct")
+    each = again(fp).join(own.select("_place"), "_place", "left_semi").select(F.explode("_keys").alias("key"), F.col("_node").alias("node"), F.col("_n").alias("n"))
+    each = materialize(each, "similar-keys")
+    first = each.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c")
+    first = materialize(first, "similar-firsts")  # a table of its own: a frequent key's rows can be split
+    members = materialize(each.join(first, "key").select("key", "node", "n", "c"), "similar-members")
+    drop(each)
+    fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    star = members.where((F.col("node") != F.col("c.node")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    star = materialize(star.distinct(), "similar-pairs")
+    needed = own.join(members.select(F.col("node").alias("_fp")).distinct(), "_fp", "left_semi").select("_place", F.col("_fp").alias("_node"))
+    texts = materialize(place.select("_place", F.col(f"`{text}`").alias("_text")).join(needed, "_place").select("_node", "_text"), "similar-texts")
+    links_ = materialize(verified(star, texts, words, similarity), "similar-links")
+    labels = components(links_, "similar-cc")
+    named = members.join(labels, members["node"] == labels["node"], "left").select("key", members["node"].alias("node"), "n", F.coalesce("component", members["node"]).alias("label"))
+    named = materialize(named, "similar-named")
+    mixed = materialize(named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key"), "similar-mixed")
+    left = materialize(named.join(mixed, "key", "left_semi"), "similar-left")
+    x, y = (left_.select("key", *[F.col(c).alias(c + k) for c in ("node", "n", "label")]) for left_, k in ((left, "1"), (again(left), "2")))
+    rest = x.join(y, "key").where((F.col("label1") != F.col("label2")) & (F.col("node1") < F.col("node2")) & fits(F.col("n1"), F.col("n2")))
+    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = materialize(verified(materialize(rest, "similar-pairs"), texts, words, similarity), "similar-links")
+    labels = components(links_.unionByName(more), "similar-cc")
+    return _labelled(fp.drop("_keys", "_n", "_place").withColumnRenamed("_node", "_fp"), own.drop("_place"), labels)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
