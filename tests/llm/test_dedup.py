@@ -223,3 +223,15 @@ def test_similar_documents_keep_those_that_share_boilerplate(spark):
     a, b = _shingles(rows[0][1]), _shingles(rows[1][1])
     assert 0.68 < len(a & b) / len(a | b) < 0.72
     assert _similar_got(spark, rows) == {i: i for i, _ in rows}
+
+
+def test_similar_documents_recall_from_the_similarity_on(spark):
+    random.seed(9)
+    rows = []
+    for g in range(150):
+        base = random.choices([f"w{i}" for i in range(3000)], k=200)
+        at = random.randrange(150)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:at] + ["x"] * (8 + g % 30) + base[at + 8 + g % 30 :]))]
+    want = _similar_brute(rows)
+    assert 100 < sum(i != j for i, j in want.items()) < 150
+    assert _similar_got(spark, rows) == want
