@@ -235,3 +235,15 @@ def test_similar_documents_recall_from_the_similarity_on(spark):
     want = _similar_brute(rows)
     assert 100 < sum(i != j for i, j in want.items()) < 150
     assert _similar_got(spark, rows) == want
+
+
+def test_similar_documents_past_a_failing_centre(spark):
+    random.seed(10)
+    shared, vocabulary = [f"b{i}" for i in range(160)], [f"w{k}" for k in range(9000)]
+    rows = []
+    for i in range(80):
+        own = random.choices(vocabulary, k=40)
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own[:-14] + random.choices(vocabulary, k=14)))]
+    want = _similar_brute(rows)
+    assert want == {i: i - i % 2 for i, _ in rows}
+    assert _similar_got(spark, rows) == want
