@@ -2,6 +2,9 @@
 
 import datetime as dt
 import json
+import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +165,20 @@ def test_stateful_streams(spark, tmp_path):
     q = jobs.previous_row_signals(s).writeStream.format("memory").queryName("sig").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.signal_type for r in spark.table("sig").collect()) == ["breakout", "new_entry"]
+
+
+def test_text_queries_read_all_turns_and_whole_texts(spark, tmp_path):
+    from trendloom.plans import catalog
+
+    late = "Crème Brûlée vanilla amber saffron leather tonka patchouli bergamot Élixir"
+    rows = [("c", 0, "user", "hello"), ("c", 1, "assistant", late), ("c", 2, "user", None)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    keys = {r.turn: r for r in catalog.QUERIES["accent_keys"](spark, str(tmp_path)).collect()}
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x))
+    assert set(keys) == {0, 1, 2} and keys[1].plain == plain(late.lower()) and keys[1].ascii == plain(late.lower())
+    assert keys[1].slug == plain(late.lower()).replace(" ", "-") and keys[2].plain is None
+    words = {r.turn: r.keywords for r in catalog.QUERIES["query_keywords"](spark, str(tmp_path)).collect()}
+    tokens = [w for w in re.sub("[^a-z0-9]+", " ", late.lower()).split()]
+    assert set(words) == {0, 1, 2} and words[0] == ["hello"] and words[1] == sorted(set(tokens), key=lambda w: (-len(w), w))[:4]
+    got = [(r.turn, r.phrase) for r in catalog.QUERIES["candidate_phrases"](spark, str(tmp_path)).collect()]
+    assert (0, "hello") in got and (1, "saffron leather tonka patchouli") in got and (1, "vanilla amber saffron") in got

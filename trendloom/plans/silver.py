@@ -88,9 +88,9 @@ def transcript_queue(spark, sf_dir):
 
 @query("accent_keys")
 def accent_keys(spark, sf_dir):
-    """STR13, STR14, SUP05, SUP07: keys without accents of conversation openings."""
-    c = B.table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 40).alias("t"))
-    return c.select("conv_id", T.without_accents(F.lower("t")).alias("plain"), T.to_ascii(F.lower("t")).alias("ascii"), T.slug(T.to_ascii(F.col("t"))).alias("slug"))
+    """STR13, STR14, SUP05, SUP07: keys without accents of the whole text of every turn."""
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
+    return c.select("conv_id", "turn", T.without_accents(F.lower("t")).alias("plain"), T.to_ascii(F.lower("t")).alias("ascii"), T.slug(T.to_ascii(F.col("t"))).alias("slug"))
 
 
 @query("brand_words_and_urls", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'stored' WHEN p_partkey % 3 = 1 THEN 'https://www.youtube.com/watch?v=' || p_partkey ELSE NULL END AS url, ['brand'] AS words FROM part")
@@ -103,8 +103,8 @@ def brand_words_and_urls(spark, sf_dir):
 
 @query("query_keywords")
 def query_keywords(spark, sf_dir):
-    """STR26."""
-    return B.table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", T.query_keywords(F.col("text")).alias("keywords"))
+    """STR26: of every turn."""
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.query_keywords(F.col("text")).alias("keywords"))
 
 
 @query("day_partition", "SELECT event_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")

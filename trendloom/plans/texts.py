@@ -110,10 +110,10 @@ def bigram_counts(spark, sf_dir):
 
 @query("candidate_phrases")
 def candidate_phrases(spark, sf_dir):
-    """STR02, STR18, STR19, FLT06: cleaned candidates of conversation openings."""
-    c = B.table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'")
-    phrases = T.candidate_phrases(F.col("text"), 2)
-    return c.select("conv_id", F.explode(phrases).alias("phrase")).withColumn("form", T.proposed_form(F.col("phrase")))
+    """STR02, STR18, STR19, FLT06: cleaned candidates of up to four words, of every turn."""
+    c = B.table(spark, sf_dir, "conversations")
+    phrases = T.candidate_phrases(F.col("text"), 4)
+    return c.select("conv_id", "turn", F.explode(phrases).alias("phrase")).withColumn("form", T.proposed_form(F.col("phrase")))
 
 
 def _aliases(spark, sf_dir):
