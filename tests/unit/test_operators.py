@@ -182,3 +182,19 @@ def test_text_queries_read_all_turns_and_whole_texts(spark, tmp_path):
     assert set(words) == {0, 1, 2} and words[0] == ["hello"] and words[1] == sorted(set(tokens), key=lambda w: (-len(w), w))[:4]
     got = [(r.turn, r.phrase) for r in catalog.QUERIES["candidate_phrases"](spark, str(tmp_path)).collect()]
     assert (0, "hello") in got and (1, "saffron leather tonka patchouli") in got and (1, "vanilla amber saffron") in got
+
+
+def test_substring_matches_at_any_number_of_names(spark, monkeypatch):
+    from trendloom.operators import catalog as G
+
+    monkeypatch.setattr(G, "MOST_NAMES", 0, raising=False)  # as if there were more names than any bound
+    random.seed(3)
+    names = ["Rosewood Oil", "rosewood", "Amber", "a b c d e f g h i j", "Oud", "x" * 30] + ["".join(random.choices("abC ", k=random.randint(1, 9))) for _ in range(150)]
+    texts = ["rose", "ROSEWOOD", "wood o", "my amberine note", "", "o", None, "a b c d e f g h i j k l m n", "xxxxxx"] + ["".join(random.choices("abC ", k=random.randint(0, 14))) for _ in range(150)]
+    want = {}
+    for x in texts:
+        hits = [y for y in names if x is not None and len(y) >= 5 and (x.lower() in y.lower() or y.lower() in x.lower()) and x.lower() != y.lower()]
+        if hits:
+            want[x] = max(hits, key=lambda y: (len(y), y))
+    out = G.substring_matches(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(y,) for y in names], "name string"))
+    assert {r.text: r.match for r in out.collect()} == want and len(want) > 30

@@ -10,9 +10,6 @@ from trendloom.functions import text as T
 from trendloom.operators import series as O
 from trendloom.operators import topics as P
 
-#: Names searched by substring are broadcast up to this many; see substring_matches.
-MOST_NAMES = 200_000
-
 
 def relationship_confidence(n: Column) -> Column:
     """Bands below the display gate of 0.7, so that machine evidence never publishes itself."""
@@ -84,23 +81,44 @@ def seed_candidates(texts: DataFrame, source: str = "discovery") -> DataFrame:
     return texts.select(F.when(two, F.initcap(F.get(w, F.lit(0)))).otherwise("Unknown").alias("brand_name"), F.initcap(F.when(two, F.get(w, F.lit(1))).otherwise(F.col("text"))).alias("perfume_name"), F.lit(source).alias("source"))
 
 
+def _grams(c: Column, q: int | Column) -> Column:
+    """The distinct substrings of q characters."""
+    q = F.lit(q) if isinstance(q, int) else q
+    last = F.length(c) - q + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substr(c, k, q))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame, q: int) -> DataFrame:
+    """(i, o) of inner(i) and outer(o), distinct strings, where o contains i and i has q characters or more.
+
+    i is looked up by the one of its q-grams that is rarest in o: an equi-join, then the test itself.
+    """
+    held = outer.select("o", F.explode(_grams(F.col("o"), q)).alias("_g"))
+    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    key = inner.select("i", F.explode(_grams(F.col("i"), q)).alias("_g")).join(often, "_g").groupBy("i").agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g"))
+    return key.join(held, "_g").where(F.contains("o", "i")).select("i", "o")
+
+
 def substring_matches(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
     """(text, match): the longest name that contains the text or that it contains, other than itself.
 
-    A condition of this kind has no equi-join. The names are counted: a dimension of up to
-    MOST_NAMES is broadcast and searched; a larger one is searched by whole words, through exploded n-grams.
+    A condition of this kind has no equi-join of its own. Both directions are searched by exploded
+    character q-grams at all sizes; texts shorter than q by the names' shorter grams, and the empty text, which every name contains, by the longest name of all.
     """
-    n = names.where(F.length("name") >= least).select("name").distinct()
-    t = texts.select("text").distinct()
-    if n.count() <= MOST_NAMES:
-        a, b = F.lower("text"), F.lower("name")
-        pairs = t.join(F.broadcast(n), (F.contains(a, b) | F.contains(b, a)) & (a != b))
-    else:
-        grams = lambda c: F.explode(F.array_distinct(F.transform(T.ngrams(F.split(F.lower(c), " "), 1, 8), lambda g: g["phrase"])))
-        inside = t.select("text", grams("text").alias("_g")).join(n.select("name", F.lower("name").alias("_g")), "_g")
-        around = n.select("name", grams("name").alias("_g")).join(t.select("text", F.lower("text").alias("_g")), "_g")
-        pairs = inside.select("text", "name").unionByName(around.select("text", "name")).where(F.lower("text") != F.lower("name")).distinct()
-    return pairs.groupBy("text").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("match"))
+    q = max(1, min(least, 5))
+    n = names.where(F.length("name") >= least).select("name", F.lower("name").alias("b")).distinct()
+    t = texts.where(F.col("text").isNotNull()).select("text", F.lower("text").alias("a")).distinct()
+    a, b = t.select("a").distinct(), n.select("b").distinct()
+    around = _contained(a.select(F.col("a").alias("i")), b.select(F.col("b").alias("o")), q).select(F.col("i").alias("a"), F.col("o").alias("b"))
+    inside = _contained(b.select(F.col("b").alias("i")), a.select(F.col("a").alias("o")), q).select(F.col("o").alias("a"), F.col("i").alias("b"))
+    pairs = around.unionByName(inside).where("a <> b").distinct()
+    best = F.max(F.struct(F.length("name").alias("l"), F.col("name").alias("name"))).alias("_m")
+    found = t.join(pairs, "a").join(n, "b").groupBy("text").agg(best)
+    lengths = F.sequence(F.lit(1), F.lit(max(q - 1, 1)))
+    short = n.select("name", F.explode(F.array_distinct(F.flatten(F.filter(F.transform(lengths, lambda k: _grams(F.col("b"), k)), lambda g: g.isNotNull())))).alias("a")).groupBy("a").agg(best)
+    brief = t.where(F.length("a").between(1, q - 1)).join(short, "a").select("text", "_m")
+    empty = t.where("a = ''").crossJoin(F.broadcast(n.agg(best))).where("_m IS NOT NULL").select("text", "_m")
+    return found.unionByName(brief).unionByName(empty).groupBy("text").agg(F.max("_m").alias("_m")).select("text", F.col("_m.name").alias("match"))
 
 
 def composition(mentions: DataFrame, demo: Column) -> DataFrame:
