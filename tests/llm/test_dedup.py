@@ -247,3 +247,54 @@ def test_similar_documents_past_a_failing_centre(spark):
     want = _similar_brute(rows)
     assert want == {i: i - i % 2 for i, _ in rows}
     assert _similar_got(spark, rows) == want
+
+
+def test_similar_documents_in_many_blocks(spark):
+    """A cluster of many blocks: a template without links, a group around one document, and a chain, next to each other."""
+    random.seed(21)
+    word = lambda: "w%d" % random.randrange(10**6)
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(60):
+        edits = 1 if i % 3 else 9
+        text = list(base)
+        for p in random.sample(range(120), edits):
+            text[p] = word()
+        rows.append((i, " ".join(text)))
+    chain = list(base)
+    for i in range(60, 80):
+        chain[(7 * i) % 120] = word()
+        rows.append((i, " ".join(chain)))
+    random.shuffle(rows)
+    want = _similar_brute(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes in (300, 3_000):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, block_bytes=block_bytes).collect()}
+        assert got == want
+
+
+def test_linked_sets_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        pool = [np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(4)]
+        sets = [np.unique(np.concatenate((p[rng.random(len(p)) < 0.95], rng.integers(100, 200, 2).astype(np.uint64)))) for p in pool for _ in range(8)]
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9:
+                    a, b = label[i], label[j]
+                    label = [min(a, b) if x in (a, b) else x for x in label]
+        got = list(range(len(sets)))
+        for i, j in simhash.linked_sets(sets, 0.8):
+            a, b = got[i], got[j]
+            got = [min(a, b) if x in (a, b) else x for x in got]
+        assert got == label
+
+
+def test_fingerprint_columns_that_clash(spark):
+    rows = [(1, "a b c d", 7, 8, 9, 1), (2, "a b c d", 7, 8, 9, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp long, _LABEL long, Component_Id long, node int")
+    for made in (simhash.near_duplicates, simhash.similar_documents):
+        out = made(docs)
+        assert out.columns == ["doc_id", "node", "_fp", "_label", "component_id"]
+        assert {(r.doc_id, r.node, r.component_id) for r in out.collect()} == {(1, 1, 1), (2, 2, 1)}

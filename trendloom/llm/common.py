@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's own; a local one only with a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         base = jsc.getCheckpointDir().get()
     return f"{base.rstrip('/')}/trendloom-{spark.sparkContext.applicationId}"
@@ -154,10 +157,41 @@ def package_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int):
-    """A condition on a hash of the key that about `most` of the rows satisfy; true where there are no more than that."""
+def without(columns: Iterable[str], *names: str) -> list[str]:
+    """The columns whose names differ from all of names, whatever their case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def sample_threshold(n: int, most: int) -> int:
+    """Hashes below it, of 63 bits, leave at least `most` of n rows but for a chance of 1e-9, and hardly more."""
+    return min(2**63 - 1, int(2**63 * ((most + 6 * most**0.5 + 16) / max(1, n))))
+
+
+def likely(key: str, n: int, most: int) -> Column:
+    """A condition on a hash of the key that a few more than `most` of n rows satisfy."""
+    return F.xxhash64(F.lit("sample"), F.col(f"`{key}`")).bitwiseAND(F.lit(2**63 - 1)) <= F.lit(sample_threshold(n, most))
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, most: int, size: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """At most `most` of the n rows, of at most most_bytes together, in the order of a hash of the key, then of all columns.
+
+    size is the bytes of a row; a first row beyond most_bytes stays alone. Only a few more rows than `most` leave
+    the scan, unless many rows share one key: the limit holds for them too.
+    """
+    order = [F.xxhash64(F.lit("sample"), F.col(f"`{key}`")), *[F.col(f"`{c}`") for c in rows.columns]]
+    few = (rows.where(likely(key, n, most)) if n > most else rows).orderBy(*order).limit(most)
+    if size is None:
+        return few
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over `most` rows, whatever the input
+    summed = few.withColumn("_bytes", F.sum(size).over(w)).withColumn("_nth", F.count(F.lit(1)).over(w))
+    return summed.where((F.col("_bytes") <= most_bytes) | (F.col("_nth") == 1)).drop("_bytes", "_nth")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text: str, doc_id: str, most: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, _y): a bounded sample of the labelled rows that satisfy `learn`, a condition on the id."""
+    rows = labels.where(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, F.col(label).alias("_y")).distinct()
     n = rows.count()
-    if n <= most:
-        return F.lit(True)
-    share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000))
-    return share < int(1_000_000 * most / n)
+    some = likely(doc_id, n, most) if n > most else F.lit(True)
+    joined = docs.select(doc_id, text).where(some).join(rows.where(some), doc_id)
+    return bounded_sample(joined, doc_id, n, most, F.octet_length(F.coalesce(text, F.lit(""))), most_bytes)

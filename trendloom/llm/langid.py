@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer
+from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer, without
 
 BITS = 16
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 6_000
+#: Bytes of their texts together, at most.
+TRAIN_BYTES = 64 << 20
 SWITCH = 12.0
 UNKNOWN = "und"
 
@@ -110,7 +112,7 @@ def word_scores(model: Model, grams: np.ndarray, first: np.ndarray, scripts: np.
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     """Best label of each word, texts of sizes[i] words side by side, all texts advanced together."""
     total, k = scores.shape
-    label = np.zeros(total, np.int8)
+    label = np.zeros(total, np.int32)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     n = sizes[order]
@@ -118,7 +120,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
         return label
     start = (np.cumsum(sizes) - sizes)[order]
     live = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts longer than t words
-    back = np.full((total, k), -1, np.int8)  # the label before a switch, or -1 to stay
+    back = np.full((total, k), -1, np.int8 if k < 128 else np.int32)  # the label before a switch, or -1 to stay
     best = scores[start]
     ends = np.zeros((len(n), k))
     lanes = np.arange(k)
@@ -171,12 +173,13 @@ def predict(model: Model, texts: list[str | None], switch: float = SWITCH) -> tu
 def identify(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
     """docs without the text, with lang_pred, score and, unless switched off, spans array<struct<lang, words>>.
 
-    Null, empty and letterless texts are 'und' with score 0. Every row is
-    predicted alone, so repeated rows agree. Empty in, empty out. Columns named
+    Null, empty and letterless texts are 'und' with score 0. Ties, between
+    paths and between the letters of two languages, go to the language that comes first in the alphabet. Every row is
+    predicted alone, so repeated rows agree. Any number of languages can be learned. Empty in, empty out. Columns named
     like an output column are replaced.
     """
     made = ["lang_pred", "score", *["spans"] * with_spans]
-    others = [c for c in docs.columns if c not in (text, *made)]
+    others = without(docs.columns, text, *made)
     extra = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")]
     if with_spans:
         extra.append(F.array(F.struct(F.lit("").alias("lang"), F.lit(0).alias("words"))).alias("spans"))
@@ -204,10 +207,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
     return docs.select(*[F.col(f"`{c}`") for c in [*others, text]]).mapInArrow(run, typed.schema)
 
 
-def train(docs: DataFrame, learn, text: str = "text", label: str = "lang", doc_id: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
-    """Fit on about `most` rows with a label that satisfy `learn`, a condition on the id."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.coalesce(learn, F.lit(False)))
-    got = rows.where(bounded_sample(rows, doc_id, most)).select(doc_id, text, label).toPandas().sort_values([doc_id, label])
+def train(docs: DataFrame, learn, text: str = "text", label: str = "lang", doc_id: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a sample of at most `most` rows and most_bytes of those with a label that satisfy `learn`, a condition on the id."""
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, text, label)
+    got = bounded_sample(rows, doc_id, rows.count(), most, F.octet_length(text), most_bytes).toPandas().sort_values([doc_id, label, text], na_position="first")
     return fit(got[text].tolist(), got[label].tolist())
 
 

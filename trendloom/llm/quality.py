@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer
+from trendloom.llm.common import crc32_mod, slices, text_buffer, training_rows, without
 
 SHAPES, GRAMS = 2048, 1024
 #: Labelled rows that the space is fitted on and that vote, at most.
 TRAIN_ROWS = 4_000
+#: Bytes of their texts together, at most.
+TRAIN_BYTES = 64 << 20
 RANK = 48
 NEIGHBOURS = 15
+#: Rows of one matrix product.
+BLOCK = 64
 
 _SHAPE = np.arange(256, dtype=np.uint64)
 _SHAPE[97:123] = 1
@@ -85,12 +89,22 @@ def raw_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """x in blocks of BLOCK rows, the last one filled with zeros: products of one shape do not depend on the rows beside."""
+    for i in range(0, len(x), BLOCK):
+        part = x[i : i + BLOCK]
+        yield i, part if len(part) == BLOCK else np.concatenate((part, np.zeros((BLOCK - len(part), x.shape[1]), x.dtype)))
+
+
 def _project(model: Model, features: np.ndarray) -> np.ndarray:
-    z = (features * model.idf - model.mean) @ model.basis
-    norm = np.linalg.norm(z, axis=1, keepdims=True)
-    z = np.where(norm > 1e-9, z / np.maximum(norm, 1e-9), 0)
-    z[~features.any(axis=1)] = 0  # a text without features has no direction and no neighbours
-    return z.astype(np.float32)
+    out = np.zeros((len(features), model.basis.shape[1]), np.float32)
+    for i, part in _blocks(features):
+        z = (part * model.idf - model.mean) @ model.basis
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        z = np.where(norm > 1e-9, z / np.maximum(norm, 1e-9), 0)
+        z[~part.any(axis=1)] = 0  # a text without features has no direction and no neighbours
+        out[i : i + BLOCK] = z[: len(out) - i]
+    return out
 
 
 def _leading(x: np.ndarray, rank: int, rounds: int = 5) -> np.ndarray:
@@ -130,20 +144,25 @@ def fit(texts: list[str], labels: np.ndarray, rank: int = RANK) -> Model:
     return model
 
 
-def votes(model: Model, z: np.ndarray, neighbours: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest labelled vectors of each row."""
+def votes(model: Model, z: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Similarity-weighted share of label 1 among the nearest labelled vectors of each row.
+
+    Cosines are rounded to six decimals; of equal ones at the last place those of the lower index, that is
+    of the smaller id, vote.
+    """
     out = np.full(len(z), model.prior)
     k = min(neighbours, len(model.vectors))
     if not k:
         return out
-    for i in range(0, len(z), block):
-        part = z[i : i + block]
-        cos = part @ model.vectors.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(part), 1))
-        weight = np.clip(np.take_along_axis(cos, near, axis=1), 0, None).astype(np.float64) ** 4
+    for i, part in _blocks(z):
+        cos = np.round((part @ model.vectors.T).astype(np.float64), 6)
+        last = np.partition(cos, -k, axis=1)[:, -k, None]
+        above, level = cos > last, cos == last
+        near = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.clip(cos, 0, None), 0) ** 4
         total = weight.sum(axis=1)
-        share = (weight * model.labels[near]).sum(axis=1)
-        out[i : i + block] = np.where(total > 1e-9, share / np.maximum(total, 1e-9), model.prior)
+        share = (weight * model.labels).sum(axis=1)
+        out[i : i + BLOCK] = np.where(total > 1e-9, share / np.maximum(total, 1e-9), model.prior)[: len(out) - i]
     return np.clip(out, 0, 1)
 
 
@@ -151,10 +170,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """docs with score (0 to 1) and predicted (score >= threshold), without the text unless keep_text.
 
     Null counts as empty; a text without features gets the share of label 1.
-    Every row is scored alone, so repeated rows agree. Empty in, empty out.
-    Columns named score or predicted are replaced.
+    A row's score does not depend on the rows beside it, so repeated rows agree. Empty in, empty out.
+    Columns named score or predicted, in any case, are replaced.
     """
-    others = [c for c in docs.columns if c not in (text, "score", "predicted")]
+    others = without(docs.columns, text, "score", "predicted")
     kept = [*others, text] if keep_text else others
     typed = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TRAIN_ROWS vectors and one fixed basis
@@ -174,11 +193,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     return docs.select(*[F.col(f"`{c}`") for c in [*others, text]]).mapInArrow(run, typed.schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
-    """Fit on about `most` labelled rows that satisfy `learn`, a condition on the id."""
-    rows = labels.where(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, F.col(label).alias("_y")).distinct()
-    chosen = bounded_sample(rows, doc_id, most)
-    got = docs.select(doc_id, text).where(chosen).join(rows.where(chosen), doc_id).toPandas().sort_values([doc_id, "_y"])
+def train(docs: DataFrame, labels: DataFrame, label: str, learn, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a sample of at most `most` rows and most_bytes of the labelled rows that satisfy `learn`, a condition on the id."""
+    got = training_rows(docs, labels, label, learn, text, doc_id, most, most_bytes).toPandas().sort_values([doc_id, "_y", text], na_position="first")
     return fit(got[text].tolist(), got["_y"].to_numpy())
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import again, components, drop, materialize, shuffle_partitions, slices, text_buffer
+from trendloom.llm.common import components, drop, materialize, shuffle_partitions, slices, text_buffer, without
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -210,7 +210,15 @@ def links(fps: DataFrame, n: int, bits: int = 64, per_bucket: int = 4_000_000) -
     variants = (len(masks(bits)) + 1 + bits) // 2
     buckets = max(shuffle_partitions(spark), -(-n * variants // per_bucket))
     sent = fps.select("_fp").mapInArrow(_emit(buckets, bits), "bucket int, points binary, codes binary")
-    return sent.groupBy("bucket").applyInArrow(_meet(bits), "a long, b long")
+    # as many tasks as buckets: a task's share does not grow with n
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(bits), "a long, b long")
+
+
+def _named(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with neutral column names, _text last, and the name of each other column that is kept."""
+    others = without(docs.columns, text, "_fp", "_label", "component_id")
+    names = {f"_c{k}": c for k, c in enumerate(others)}
+    return docs.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()], F.col(f"`{text}`").alias("_text")), names
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
@@ -221,43 +229,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and empty texts, and texts of white space alone, have fingerprint zero
     and link like any other. Repeated rows share a fingerprint. Null ids never
     name a component unless it has no other id. An empty table gives an empty
-    result.
+    result. Other columns named like an output column, in any case, are replaced.
     """
-    fp = materialize(fingerprints(docs, text, words), "simhash")
-    own = materialize(fp.groupBy("_fp").agg(F.min(f"`{doc_id}`").alias("_low")), "simhash-distinct")
-    edges = links(own, own.count())
-    labels = components(edges, "simhash-links")
-    return _labelled(fp, own, labels)
+    base, names = _named(docs, text)
+    low = next(k for k, c in names.items() if c == doc_id)
+    fp = materialize(fingerprints(base, "_text", words), "simhash")
+    own = materialize(fp.groupBy("_fp").agg(F.min(low).alias("_low")), "simhash-distinct")
+    labels = components(links(own, own.count()), "simhash-links")
+    return _labelled(fp, own, labels, names)
 
 
-def _labelled(fp: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(fp: DataFrame, own: DataFrame, labels: DataFrame, names: dict[str, str]) -> DataFrame:
     named = own.join(labels, own["_fp"] == labels["node"], "left").select(
         "_fp", "_low", F.coalesce("component", "_fp").alias("_label")
     )
     low = materialize(named.groupBy("_label").agg(F.min("_low").alias("component_id")), "simhash-low")
-    return fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
+    told = fp.join(named.join(low, "_label").select("_fp", "_label", "component_id"), "_fp", "left")
+    return told.select(*[F.col(k).alias(c) for k, c in names.items()], "_fp", "_label", "component_id")
 
 
-def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """docs with _node (a hash of the shingle set, equal for equal sets), _keys (min-hash bands), and _n (size of the set), in place of the text."""
-    others = [c for c in docs.columns if c != text]
-    schema = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("_node"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).alias("_n")).schema
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """docs(..., _text) with _node (a hash of the shingle set, equal for equal sets), _keys (min-hash bands) and _size (bytes) in place of the text."""
+    others = docs.columns[:-1]
+    schema = docs.select(*others, F.lit(0).cast("long").alias("_node"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).cast("long").alias("_size")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            _, ends = text_buffer(whole.column(whole.schema.get_field_index(text)))
+            _, ends = text_buffer(whole.column(len(others)))
             for i, j in slices(ends, 2 << 20):
                 batch = whole.slice(i, j - i)
-                raw, at = text_buffer(batch.column(batch.schema.get_field_index(text)))
-                sets = [np.unique(np.array(shingle_hashes(raw[a:b].tobytes(), words), np.uint64)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                raw, at = text_buffer(batch.column(len(others)))
+                sets = [shingle_set(raw[a:b].tobytes(), words) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.view(np.int64)), keys, pa.array([len(x) for x in sets], pa.int32())], names=[*others, "_node", "_keys", "_n"])
+                columns = [batch.column(k) for k in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.view(np.int64)), keys, pa.array(np.diff(at))], names=[*others, "_node", "_keys", "_size"])
 
     return docs.mapInArrow(run, schema)
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """One row of BANDS keys for each set: hashes of BAND_ROWS minima each, under as many different orders of the shingles."""
     out = np.zeros((len(sets), BANDS), np.uint64)
@@ -274,61 +288,141 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs(a, b) of nodes whose texts(_node, _text) have an exact Jaccard similarity of `similarity` or more."""
+class _Postings:
+    """For each set of a list, how many elements it shares with the others that are still alive."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = lru_cache(64)(lambda t: np.unique(np.array(shingle_hashes(t.encode(), words), np.uint64)))
-        for batch in batches:
-            near = pa.array([_similar(held(x.as_py() or ""), held(y.as_py() or ""), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        values, self.element = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        order = np.argsort(self.element, kind="stable")
+        self.kinds, self.who, self.what = len(values), np.repeat(np.arange(len(sets)), self.sizes)[order], self.element[order]
+        self.alive = np.ones(len(sets), bool)
+        self.left = self.at_last = len(sets)
+        self._index()
 
-    one, two = (texts.select(F.col("_node").alias(k), F.col("_text").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    def _index(self) -> None:
+        self.many = np.bincount(self.what, minlength=self.kinds)
+        self.first = np.cumsum(self.many) - self.many
 
+    def remove(self, rows: np.ndarray | int) -> None:
+        self.alive[rows] = False
+        self.left -= np.size(rows)
+        if self.left < self.at_last // 2:  # lists of the dead are dropped whenever their share has doubled
+            keep = self.alive[self.who]
+            self.who, self.what, self.at_last = self.who[keep], self.what[keep], self.left
+            self._index()
 
-def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    shared = len(x) + len(y) - len(np.union1d(x, y))
-    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+    def shared(self, row: int) -> np.ndarray:
+        own = self.element[self.ends[row] : self.ends[row + 1]]
+        many, first = self.many[own], self.first[own]
+        at = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        return np.bincount(self.who[at], minlength=len(self.sizes))
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with an exact Jaccard similarity of `similarity` or more.
+
+    Breadth first: a set is compared once, by counts over postings, with all that are not yet reached.
+    """
+    edges, lists = [], _Postings(sets)
+    for seed in range(len(sets)):
+        if not lists.alive[seed]:
+            continue
+        lists.remove(seed)
+        waiting = [seed]
+        while waiting and lists.left:
+            i = waiting.pop()
+            shared = lists.shared(i)
+            near = lists.alive & (shared * (1 + similarity) >= similarity * (lists.sizes[i] + lists.sizes) - 1e-9)
+            found = np.flatnonzero(near)
+            if len(found):
+                edges += [(i, j) for j in found.tolist()]
+                lists.remove(found)
+                waiting += found.tolist()
+    return edges
+
+
+def _compare(words: int, similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, of = table.column("node").to_numpy(), table.column("c").to_numpy()
+        raw, at = text_buffer(table.column("_text"))
+        order = np.lexsort((nodes, of))
+        cuts = np.flatnonzero(np.diff(of[order], prepend=of[order[0]] - 1)).tolist() if len(of) else []
+        a, b = [], []
+        for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            rows = order[x:y].tolist()
+            for i, j in linked_sets([shingle_set(raw[at[r] : at[r + 1]].tobytes(), words) for r in rows], similarity):
+                a.append(nodes[rows[i]])
+                b.append(nodes[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _tiles(members: DataFrame, pairs: list, texts: DataFrame, words: int, similarity: float, n: int) -> DataFrame:
+    """Links found in tiles: members(c, node, ...) go to the tiles that `pairs`, an array column of structs (bucket, one, two), names."""
+    sent = members.select("c", "node", F.explode(pairs).alias("t")).select("c", "node", "t.*").distinct().join(texts, "node")
+    keys = ["bucket", "one", "two"]
+    return sent.repartition(n, *keys).groupBy(*keys).applyInArrow(_compare(words, similarity), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """Like near_duplicates, for shingle sets of an exact Jaccard similarity of `similarity` or more; _fp is a hash of the set.
 
     Fingerprints of such pairs differ in about ten of 64 bits, and balls of that radius are too
     large to emit. So candidates are documents that share one of BANDS min-hash keys, which pairs
     of similarity 0.8 do with a probability of 0.9999; every link is decided by the two sets.
-    First each key's members meet its smallest one. Then all pairs of a key whose
-    components still differ are compared, so a centre that fails hides no link of the others; a
-    group of near copies is one component by then and costs no pairs. Pairs whose sizes alone
-    exclude the similarity are not compared. docs has to be a stable source: texts of candidates are read again by their place.
+
+    The smallest node of each key is its centre, and all documents that share a key with a centre are its
+    cluster, so the two of any candidate pair are in one cluster. A cluster's texts are compared by exact
+    counts over postings, which gives a forest of its links and no pairs. Small clusters are put
+    together in tasks of about block_bytes. A larger one is cut into blocks of that size: first every block meets the
+    first one, then the documents outside the cluster's largest component, if any, meet all blocks. Two
+    documents that are never compared are linked by then, so no link is lost and a group of near
+    copies costs no pairs of blocks. docs has to be a stable source: texts of candidates are read again by their place.
     """
-    place = docs.withColumn("_place", F.monotonically_increasing_id())
-    fp = materialize(shingle_sets(place, text, words), "similar-sets")
-    own = materialize(fp.groupBy(F.col("_node").alias("_fp")).agg(F.min(f"`{doc_id}`").alias("_low"), F.min("_place").alias("_place")), "similar-distinct")
-    each = again(fp).join(own.select("_place"), "_place", "left_semi").select(F.explode("_keys").alias("key"), F.col("_node").alias("node"), F.col("_n").alias("n"))
-    each = materialize(each, "similar-keys")
-    first = each.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c")
-    first = materialize(first, "similar-firsts")  # a table of its own: a frequent key's rows can be split
-    members = materialize(each.join(first, "key").select("key", "node", "n", "c"), "similar-members")
+    spark = docs.sparkSession
+    base, names = _named(docs, text)
+    low = next(k for k, c in names.items() if c == doc_id)
+    place = base.select(*names, F.monotonically_increasing_id().alias("_place"), "_text")
+    fp = materialize(shingle_sets(place, words), "similar-sets")
+    rep = F.min_by(F.struct("_place", "_size", "_keys"), "_place").alias("_rep")
+    own = materialize(fp.groupBy(F.col("_node").alias("_fp")).agg(F.min(low).alias("_low"), rep).select("_fp", "_low", "_rep.*"), "similar-distinct")
+    each = materialize(own.select(F.explode("_keys").alias("key"), F.col("_fp").alias("node")), "similar-keys")
+    centre = each.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c")
+    centre = materialize(centre, "similar-centres")  # a table of its own: a frequent key's rows can be split
+    star = materialize(each.join(centre, "key").select("c", "node").distinct(), "similar-members")  # a centre is a member too
     drop(each)
-    fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    star = members.where((F.col("node") != F.col("c.node")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-    star = materialize(star.distinct(), "similar-pairs")
-    needed = own.join(members.select(F.col("node").alias("_fp")).distinct(), "_fp", "left_semi").select("_place", F.col("_fp").alias("_node"))
-    texts = materialize(place.select("_place", F.col(f"`{text}`").alias("_text")).join(needed, "_place").select("_node", "_text"), "similar-texts")
-    links_ = materialize(verified(star, texts, words, similarity), "similar-links")
-    labels = components(links_, "similar-cc")
-    named = members.join(labels, members["node"] == labels["node"], "left").select("key", members["node"].alias("node"), "n", F.coalesce("component", members["node"]).alias("label"))
-    named = materialize(named, "similar-named")
-    mixed = materialize(named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key"), "similar-mixed")
-    left = materialize(named.join(mixed, "key", "left_semi"), "similar-left")
-    x, y = (left_.select("key", *[F.col(c).alias(c + k) for c in ("node", "n", "label")]) for left_, k in ((left, "1"), (again(left), "2")))
-    rest = x.join(y, "key").where((F.col("label1") != F.col("label2")) & (F.col("node1") < F.col("node2")) & fits(F.col("n1"), F.col("n2")))
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(rest, "similar-pairs"), texts, words, similarity), "similar-links")
-    labels = components(links_.unionByName(more), "similar-cc")
-    return _labelled(fp.drop("_keys", "_n", "_place").withColumnRenamed("_node", "_fp"), own.drop("_place"), labels)
+    sized = own.select(F.col("_fp").alias("node"), "_place", "_size")
+    needed = sized.join(star.select("node").distinct(), "node", "left_semi")
+    texts = materialize(place.select("_place", "_text").join(needed, "_place").select("node", "_text"), "similar-texts")
+    blocks = F.ceil(F.sum("_size") / F.lit(float(block_bytes))).cast("int")
+    plan = star.join(sized, "node").groupBy("c").agg(F.greatest(F.lit(1), blocks).alias("blocks"), F.sum("_size").alias("bytes"))
+    plan = materialize(plan, "similar-plan")
+    total = plan.agg(F.sum("bytes"), F.sum(F.when(F.col("blocks") > 1, F.col("blocks")))).first()
+    n = max(shuffle_partitions(spark), -(-(total[0] or 0) // block_bytes), 2 * (total[1] or 0))
+    members = materialize(star.join(plan, "c").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "similar-blocks")
+    tile = lambda bucket, one, two: F.struct(bucket.cast("int").alias("bucket"), one.cast("int").alias("one"), two.cast("int").alias("two"))
+    zero, k, count = F.lit(0), F.col("k"), F.col("blocks")
+    small = F.array(tile(F.pmod(F.xxhash64(F.lit(1), "c"), F.lit(n)), F.lit(-1), F.lit(-1)))
+    with_first = F.when(k == 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count - 1)), lambda x: tile(F.hash("c"), zero, x))).otherwise(F.array(tile(F.hash("c"), zero, k)))
+    found = materialize(_tiles(members, F.when(count == 1, small).otherwise(with_first), texts, words, similarity, n), "similar-links")
+    labels = components(found, "similar-cc")
+    if total[1]:  # clusters of several blocks
+        big = members.where(count > 1).join(sized.select("node", "_size"), "node").join(labels.withColumnRenamed("component", "label"), "node", "left")
+        big = materialize(big.withColumn("label", F.coalesce("label", "node")), "similar-big")
+        most = big.groupBy("c", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("c").agg(F.max(F.struct("m", "label"))["label"].alias("most"))
+        told = materialize(big.join(materialize(most, "similar-most"), "c").withColumn("outside", F.col("label") != F.col("most")), "similar-told")
+        rounds = told.where("outside").groupBy("c").agg(F.ceil(F.sum("_size") / F.lit(float(block_bytes))).cast("int").alias("rounds"))
+        again_ = told.join(materialize(rounds, "similar-rounds"), "c").withColumn("r", F.pmod(F.xxhash64(F.lit(2), "node"), F.greatest(F.lit(1), F.col("rounds"))).cast("int"))
+        to_all = F.transform(F.sequence(F.lit(0), count - 1), lambda x: tile(F.hash("c"), F.col("r"), x))
+        from_all = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("rounds")) - 1), lambda x: tile(F.hash("c"), x, k))
+        pairs = F.when(F.col("outside"), F.array_union(to_all, from_all)).otherwise(from_all)
+        found = found.unionByName(materialize(_tiles(again_, pairs, texts, words, similarity, n), "similar-links"))
+        labels = components(found, "similar-cc")
+    return _labelled(fp.drop("_keys", "_size", "_place").withColumnRenamed("_node", "_fp"), own.select("_fp", "_low"), labels, names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import package_path
+from trendloom.llm.common import package_path, without
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 32_768
@@ -141,7 +141,7 @@ def token_counts(
     named like an output column are replaced.
     """
     made = ["n_bytes", "n_tokens", "over_limit"]
-    others = [c for c in docs.columns if c != text and c not in made]
+    others = without(docs.columns, text, *made)
     typed = docs.select(
         *[F.col(f"`{c}`") for c in others],
         F.lit(0).cast("long").alias("n_bytes"),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer
+from trendloom.llm.common import crc32_mod, slices, text_buffer, training_rows, without
 
 ORDERS = (4, 5, 6, 8)
 BITS = 19
@@ -26,6 +26,8 @@ BITS = 19
 SIZE = len(ORDERS) << BITS
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 5_000
+#: Bytes of their texts together, at most.
+TRAIN_BYTES = 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,7 +114,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     row is scored alone, so repeated rows agree. Empty in, empty out. Columns named
     score or predicted are replaced.
     """
-    others = [c for c in docs.columns if c not in (text, "score", "predicted")]
+    others = without(docs.columns, text, "score", "predicted")
     typed = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: 4 bytes for each of 8 << 19 buckets
 
@@ -134,11 +136,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     return docs.select(*[F.col(f"`{c}`") for c in [*others, text]]).mapInArrow(run, typed.schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
-    """Fit on about `most` labelled rows that satisfy `learn`, a condition on the id."""
-    rows = labels.where(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, F.col(label).alias("_y")).distinct()
-    chosen = bounded_sample(rows, doc_id, most)
-    got = docs.select(doc_id, text).where(chosen).join(rows.where(chosen), doc_id).toPandas().sort_values([doc_id, "_y"])
+def train(docs: DataFrame, labels: DataFrame, label: str, learn, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a sample of at most `most` rows and most_bytes of the labelled rows that satisfy `learn`, a condition on the id."""
+    got = training_rows(docs, labels, label, learn, text, doc_id, most, most_bytes).toPandas().sort_values([doc_id, "_y", text], na_position="first")
     return fit(got[text].tolist(), got["_y"].to_numpy())
 
 
