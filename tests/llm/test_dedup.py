@@ -104,30 +104,47 @@ def test_simhash_edges(spark):
 
 
 def _line_brute(rows, least):
-    """Delete line t iff it lies in a run of least words that begins after an earlier equal run ended."""
-    seen, cut = {}, {i: set() for i, _ in rows}
+    """Delete word j iff it lies in a stretch of `least` words that begins after an earlier equal stretch ended."""
+    seen, out = {}, {}
     for order, (i, text) in enumerate(rows):
-        lines = [(k, " ".join(x.split())) for k, x in enumerate((text or "").split("\n"))]
-        lines = [(k, x) for k, x in lines if x]
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                run = tuple(x for _, x in lines[a : b + 1])
-                if sum(len(x.split()) for x in run) < least:
-                    continue
-                first = seen.setdefault(run, (order, lines[b][0]))
-                if order != first[0] or lines[a][0] > first[1]:
-                    cut[i] |= set(range(lines[a][0], lines[b][0] + 1))
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut[i]) for i, t in rows}
+        tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
+        words, gone = [x.strip(" \t\n\v\f\r") for x in tokens], set()
+        for a in range(len(words) - least + 1):
+            first = seen.setdefault(tuple(words[a : a + least]), (order, a))
+            if order != first[0] or a >= first[1] + least:
+                gone |= set(range(a, a + least))
+        lead = re.match(r"[\x20\x09-\x0D]*", text or "")[0]
+        kept = lead + "".join(x for k, x in enumerate(tokens) if k not in gone)
+        out[i] = (None if text is None else kept.rstrip(" \t\n\v\f\r") if len(tokens) - 1 in gone else kept, len(tokens), len(gone))
+    return out
+
+
+def _lines_got(spark, rows, least):
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()
+    return {r.doc_id: (r.text, r.n_words, r.n_removed) for r in out}
 
 
 def test_lines_against_brute_force(spark):
     random.seed(5)
     pool = [" ".join(random.choices("abcdefg", k=random.choice((1, 2, 3, 7)))) for _ in range(12)]
-    rows = [(i, "\n".join(random.choice([*pool, "", "u%d" % random.randrange(999)]) for _ in range(random.randint(0, 14)))) for i in range(60)] + [(70, None), (71, "")]
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()}
+    join = lambda parts: "".join(x + random.choice((" ", "\n", "\n\n", " \t")) for x in parts)
+    rows = [(i, random.choice(("", " ", "\n")) + join(random.choice([*pool, "u%d" % random.randrange(999)]) for _ in range(random.randint(0, 14)))) for i in range(80)]
+    rows += [(90, None), (91, ""), (92, " \n"), (93, "a " * 40), (94, "a b " * 30), (95, "é🙂 " * 20)]
     want = _line_brute(rows, 6)
-    assert {i: r.text for i, r in got.items()} == want
-    assert any(r.n_removed for r in got.values())
+    got = _lines_got(spark, rows, 6)
+    assert got == want and sum(x[2] for x in got.values()) > 100
+
+
+def test_passages_inside_lines(spark):
+    """Passages of 51 words that begin and end inside lines, in many documents, and one document that repeats a longer part."""
+    random.seed(9)
+    own = lambda k: " ".join("v%d" % random.randrange(10**6) for _ in range(k))
+    passage = own(51)
+    rows = [(i, f"{own(30)} {passage} {own(20)}\n{own(9)}") for i in range(40)]
+    rows += [(40, f"{own(5)} {rows[3][1][10:]}"), (41, rows[7][1]), (42, passage[: len(passage) // 2])]
+    want = _line_brute(rows, 50)
+    assert _lines_got(spark, rows, 50) == want
+    assert all(want[i][2] == 51 for i in range(1, 40)) and want[0][2] == want[42][2] == 0 and want[41][0] == ""
 
 
 def test_line_edges(spark):
@@ -137,6 +154,8 @@ def test_line_edges(spark):
     out = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r.text for r in out) == ["", "", "", f"intro\n{long}\noutro"]
     assert all(r.kept in ("k", None) for r in out)
+    clash = spark.createDataFrame([(1, "a", 5, "x", 3)], "doc_id long, text string, N_Words int, _cuts string, _c0 int")
+    assert line_dedup.line_dedup(clash).collect()[0].asDict() == {"doc_id": 1, "text": "a", "_cuts": "x", "_c0": 3, "n_words": 1, "n_removed": 0}
 
 
 def test_embeddings_against_brute_force(spark):
