@@ -22,6 +22,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x the value, worked out once: an expression that stands inside a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -55,6 +60,11 @@ def to_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility composed form; ASCII texts, which are in it already, stay in the JVM."""
+    return F.coalesce(normal_form("NFKC")(F.when(F.octet_length(text) != F.length(text), text)), text)
+
+
 # --- normalisation -----------------------------------------------------------------------
 
 
@@ -62,9 +72,9 @@ def normalize_text(text: Column, composed: bool = True) -> Column:
     """Lower case, possessives dropped, apostrophes and punctuation to blanks, white space collapsed.
 
     composed says that the text is in compatibility composed form already (as
-    ASCII is), so the expression stays in the JVM; else that form is made first.
+    ASCII is, or what compatible() gave); else that form is made first.
     """
-    t = text if composed else normal_form("NFKC")(text)
+    t = text if composed else compatible(text)
     t = F.regexp_replace(F.lower(t), r"(?U)'s\b", "")
     return collapse(F.regexp_replace(F.replace(t, F.lit("'"), F.lit(" ")), r"(?U)[^\w\s]+", " "))
 
@@ -177,21 +187,25 @@ def title_case(text: Column) -> Column:
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of low..high tokens as array<struct<phrase, pos, n>>; a bounded number for each token."""
-    def of(n):
-        last = F.size(tokens) - n
+    def of(t, n):
+        last = F.size(t) - n
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase"), i.alias("pos"), F.lit(n).alias("n")))
+        return F.transform(at, lambda i: F.struct(F.array_join(F.slice(t, i + 1, n), " ").alias("phrase"), i.alias("pos"), F.lit(n).alias("n")))
 
-    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
+    return let(tokens, lambda t: F.flatten(F.array(*[of(t, n) for n in range(low, high + 1)])))
 
 
 def trim_words(tokens: Column, stop_start, stop_end) -> Column:
     """Tokens without the stop words at either end."""
-    marked = lambda stops: F.transform(tokens, lambda w: ~isin_list(w, stops))
-    first = F.array_position(marked(stop_start), True)
-    tail = F.array_position(F.reverse(marked(stop_end)), True)
-    last = F.size(tokens) - tail + 1
-    return F.when((first > 0) & (tail > 0) & (last >= first), F.slice(tokens, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    def cut(t):
+        marked = lambda stops: F.transform(t, lambda w: ~isin_list(w, stops))
+        first, tail = F.array_position(marked(stop_start), True), F.array_position(F.reverse(marked(stop_end)), True)
+        return let(F.struct(first.alias("a"), tail.alias("b"), (F.size(t) - tail + 1).alias("z")), lambda x: F.when(
+            (x["a"] > 0) & (x["b"] > 0) & (x["z"] >= x["a"]),
+            F.slice(t, F.greatest(x["a"], F.lit(1)).cast("int"), F.greatest(x["z"] - x["a"] + 1, F.lit(0)).cast("int")),
+        ).otherwise(F.array().cast("array<string>")))
+
+    return let(tokens, cut)
 
 
 def proposed_form(text: Column) -> Column:
@@ -203,8 +217,7 @@ def proposed_form(text: Column) -> Column:
 def candidate_phrases(text: Column, longest: int = 4) -> Column:
     """Distinct cleaned n-grams, most words and then longest first."""
     whole = normalize_with_concentration(text)["text"]
-    tokens = words_of(whole)
-    grams = F.concat(F.transform(ngrams(tokens, 1, longest), lambda g: g["phrase"]), F.filter(F.array(whole), lambda p: p != ""))
+    grams = let(whole, lambda w: F.concat(F.transform(ngrams(words_of(w), 1, longest), lambda g: g["phrase"]), F.filter(F.array(w), lambda p: p != "")))
     allowed = F.filter(F.array_distinct(grams), lambda p: ~p.rlike("|".join(V.PHRASE_BLACKLIST)))
     cleaned = F.transform(allowed, lambda p: F.array_join(trim_words(words_of(p), V.GENERIC_PERFUME_WORDS, V.GENERIC_PERFUME_WORDS), " "))
     good = F.filter(cleaned, lambda p: (F.length(p) >= 2) & ~p.rlike(r"^\d+$") & F.exists(words_of(p), lambda w: ~isin_list(w, V.PHRASE_STOP)))
@@ -259,6 +272,26 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def common_subsequence(x: str, y: str) -> int:
+    """Length of the longest common subsequence, by bit vectors."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(x) - row.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity by insertions and deletions alone, 0 to 1, null where either is."""
+    ratio = lambda x, y: 2 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0
+    return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 # --- URLs and handles --------------------------------------------------------------------
 
 

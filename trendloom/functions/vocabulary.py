@@ -38,7 +38,7 @@ PHRASE_BLACKLIST = (
 )
 # Stop words of candidate validation, English function words and contraction tails.
 STOPWORDS = (
-    "a", "an", "the", "and", "or", "but", "nor", "so", "is", "are", "was", "were", "be", "been", "being", "am",
+    "a", "an", "the", "and", "or", "but", "not", "no", "nor", "so", "is", "are", "was", "were", "be", "been", "being",
     "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "i", "me", "my",
     "we", "our", "you", "your", "he", "she", "it", "they", "his", "her", "its", "their", "this", "that", "these", "those", "in", "on", "at",
     "to", "for", "of", "with", "by", "from", "up", "out", "about", "into", "through", "during", "before", "after", "above", "below", "between",

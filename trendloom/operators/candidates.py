@@ -122,7 +122,7 @@ def brand_prefix(texts: DataFrame, brands: DataFrame) -> DataFrame:
     b = brands.groupBy("key").agg(F.min("brand").alias("brand"))
     j = texts.select("text", F.array_join(F.slice(w, 1, 2), " ").alias("_two"), F.get(w, F.lit(0)).alias("_one"))
     j = j.join(b.select(F.col("key").alias("_two"), F.col("brand").alias("_b2")), "_two", "left").join(b.select(F.col("key").alias("_one"), F.col("brand").alias("_b1")), "_one", "left")
-    rest = F.when(F.col("_b2").isNotNull(), F.array_join(F.slice(w, 3, 100), " ")).when(F.col("_b1").isNotNull(), F.array_join(F.slice(w, 2, 100), " "))
+    rest = F.when(F.col("_b2").isNotNull(), F.array_join(F.slice(w, 3, F.greatest(F.size(w), F.lit(1))), " ")).when(F.col("_b1").isNotNull(), F.array_join(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), " "))
     return j.select("text", F.coalesce("_b2", "_b1").alias("brand"), rest.alias("rest"))
 
 

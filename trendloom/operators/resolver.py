@@ -15,10 +15,12 @@ from trendloom.functions import vocabulary as V
 
 LONGEST = 6
 NEAR = 10
+#: Dictionary rows that are broadcast at most; larger dictionaries are joined by a shuffle over SALTS parts of each key.
+MOST_BROADCAST, SALTS = 200_000, 8
 
 
 def tokenized(texts: DataFrame) -> DataFrame:
-    return texts.select("id", T.words_of(T.normalize_text(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return texts.select("id", T.words_of(T.normalize_text(F.coalesce("text", F.lit("")), composed=False)).alias("tokens"))
 
 
 def alias_table(aliases: DataFrame) -> DataFrame:
@@ -27,19 +29,28 @@ def alias_table(aliases: DataFrame) -> DataFrame:
     return one.withColumn("n", F.size(F.split("alias", " "))).withColumn("head", F.substring_index("alias", " ", 1))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a dictionary: broadcast if its counted rows allow, else in SALTS parts of each key, so that a frequent one is split."""
+    if table.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), key)
+    parts = table.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(parts, [key, "_salt"]).drop("_salt")
+
+
 def matches(texts: DataFrame, aliases: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(id, pos, n, alias, entity_id, name, brand) of every window that is an alias; tokens are not consumed.
 
-    Only windows that begin with the first token of some alias are spelled out.
+    Only windows that begin with the first token of some alias are spelled out, in the lengths that occur with it.
     """
     table = alias_table(aliases)
-    heads = table.where(F.col("n") <= longest).select("head", F.col("n").alias("_n")).distinct()
+    heads = table.where(F.col("n") <= longest).groupBy("head").agg(F.array_sort(F.collect_set("n")).alias("_ns"))  # at most `longest` lengths each
     tokens = tokenized(texts)
-    at = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), F.slice("tokens", i + 1, longest + 1).alias("w")))
-    windows = tokens.select("id", F.explode(at).alias("x")).select("id", "x.pos", "x.w", F.get("x.w", F.lit(0)).alias("head"))
-    spelled = windows.join(heads, "head").where(F.size("w") >= F.col("_n"))
+    at = F.transform("tokens", lambda t, i: F.struct(t.alias("head"), i.alias("pos"), F.slice("tokens", i + 1, longest + 1).alias("w")))
+    windows = tokens.select("id", F.explode(at).alias("x")).select("id", "x.*")
+    spelled = looked_up(windows, heads, "head").select("id", "pos", "w", F.explode("_ns").alias("_n")).where(F.size("w") >= F.col("_n"))
     spelled = spelled.select("id", "pos", F.array_join(F.expr("slice(w, 1, _n)"), " ").alias("alias"), F.get("w", F.col("_n")).alias("next"))
-    found = spelled.join(table, "alias")
+    found = looked_up(spelled, table, "alias")
     alone = F.col("n") == 1
     guarded = (alone & (T.isin_list(F.coalesce("next", F.lit("")), V.CONTRACTION_TAILS) | T.isin_list(F.col("alias"), V.BLOCKED_WORDS))) | T.isin_list(F.col("alias"), V.BLOCKED_PHRASES)
     return found.where(~guarded).select("id", "pos", "n", "alias", *[c for c in table.columns if c not in ("alias", "n", "head")])
@@ -119,7 +130,8 @@ def resolve_fields(fields: DataFrame, aliases: DataFrame, least: float = 0.3) ->
 
 def safe_aliases(names: DataFrame, existing: DataFrame) -> DataFrame:
     """(alias, entity_id): generated aliases that one entity alone claims and that do not exist yet, of 2 to 8 tokens."""
-    made = names.select("entity_id", F.explode(T.perfume_aliases(F.col("brand"), F.col("name"))).alias("alias"))
+    plain = names.select("entity_id", T.compatible(F.col("brand")).alias("brand"), T.compatible(F.col("name")).alias("name"))
+    made = plain.select("entity_id", F.explode(T.perfume_aliases(F.col("brand"), F.col("name"))).alias("alias"))
     unique = made.groupBy("alias").agg(F.countDistinct("entity_id").alias("_n"), F.min("entity_id").alias("entity_id")).where("_n = 1").drop("_n")
     words = F.size(F.split("alias", " "))
     return unique.where(words.between(2, 8)).join(existing.select("alias"), "alias", "left_anti")
@@ -185,19 +197,78 @@ def evidence_scores(mentions: DataFrame, domain, note_phrases, ingredients, reco
 # --- fuzzy -------------------------------------------------------------------------------
 
 
-def best_fuzzy(left: DataFrame, right: DataFrame, least: float = 0.88) -> DataFrame:
-    """(text, match, ratio): the most similar name of right(name) for each left(text), of those that share a first token and a similar length.
+def _numbered_pairs(s: Column) -> Column:
+    """The pairs of neighbouring characters, each with the number of equal ones before it, so that they form a set."""
+    last = F.length(s) - 1
+    pairs = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substr(s, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return T.let(pairs, lambda p: F.transform(p, lambda g, i: F.concat(g, F.size(F.filter(F.slice(p, 1, i + 1), lambda x: x == g)).cast("string"))))
+
+
+def _fuzzy_keys(strings: DataFrame, often: DataFrame, least: float, every_length: bool) -> DataFrame:
+    """(s, key): the rarest character pairs of each string, as many as suffice, and lengths where strings are too short for that."""
+    size = F.col("size")
+    needed = F.ceil(size * 2 / (2 - least) * (1.5 * least - 1) - 1 - 1e-9)  # pairs that the most different allowed partner still shares
+    w = Window.partitionBy("s").orderBy("_f", "key")
+    ranked = strings.select("s", "size", F.explode("pairs").alias("key")).join(often, "key").withColumn("_r", F.row_number().over(w))
+    rare = ranked.where((needed >= 1) & (F.col("_r") <= size - 1 - needed + 1)).select("s", "key")
+    short = max([k for k in range(64) if k * 2 / (2 - least) * (1.5 * least - 1) - 1 <= 1e-9])
+    brief = strings.where(size <= int(short * (2 - least) / least + 1e-9))
+    lengths = F.sequence(F.ceil(size * least / (2 - least) - 1e-9).cast("int"), F.floor(size * (2 - least) / least + 1e-9).cast("int")) if every_length else F.array(size)
+    return rare.unionByName(brief.select("s", F.explode(F.transform(lengths, lambda k: F.concat(F.lit("length "), k.cast("string")))).alias("key")))
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = 0.88, ratio=T.sequence_ratio) -> DataFrame:
+    """(text, name, ratio): all pairs of left(text) and right(name) of a ratio of `least` (over 2/3) or more, case ignored.
 
-    Blocking makes it an equi-join; the ratio is computed for the block's pairs alone.
+    Of two strings of T characters together, M of which match, at most T - 2M + 1 runs of matching characters lie side by side,
+    so they share at least 3M - T - 1 pairs of neighbouring characters, and a ratio 2M / T of `least` asks for a number of them. Two sets
+    that share c elements share one of the rarest |set| - c + 1 of each, which makes the search
+    an equi-join that loses nothing; the ratio is worked out for pairs alone that share enough.
     """
-    head = lambda c: F.substring_index(F.lower(c), " ", 1)
-    band = F.floor(F.length("text") / 4)
-    a = left.select("text").distinct().select("text", head("text").alias("_h"), F.explode(F.array(band - 1, band, band + 1)).alias("_l"))
-    b = right.select("name").distinct().select("name", head("name").alias("_h"), F.floor(F.length("name") / 4).alias("_l"))
-    r = a.join(b, ["_h", "_l"]).select("text", "name", T.sequence_ratio(F.lower("text"), F.lower("name")).alias("ratio")).where(F.col("ratio") >= least)
+    form = lambda t, c: t.where(F.col(c).isNotNull()).select(F.col(c).alias("v"), F.lower(c).alias("s")).distinct()
+    a, b = form(left, "text"), form(right, "name")
+    sized = lambda t: t.select("s").distinct().select("s", F.length("s").alias("size"), _numbered_pairs(F.col("s")).alias("pairs"))
+    x, y = sized(a), sized(b)
+    often = x.select(F.explode("pairs").alias("key")).unionByName(y.select(F.explode("pairs").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("_f"))
+    p = _fuzzy_keys(x, often, least, True).withColumnRenamed("s", "s1")
+    q = _fuzzy_keys(y, often, least, False).withColumnRenamed("s", "s2")
+    total = F.length("s1") + F.length("s2")
+    shared = F.size(F.array_intersect(_numbered_pairs(F.col("s1")), _numbered_pairs(F.col("s2"))))
+    near = p.join(q, "key").select("s1", "s2").where(2 * F.least(F.length("s1"), F.length("s2")) >= least * total - 1e-9).distinct()
+    near = near.where(shared >= total * (1.5 * least - 1) - 1 - 1e-9).withColumn("ratio", ratio(F.col("s1"), F.col("s2"))).where(F.col("ratio") >= least)
+    named = near.join(a.select(F.col("s").alias("s1"), F.col("v").alias("text")), "s1").join(b.select(F.col("s").alias("s2"), F.col("v").alias("name")), "s2")
+    return named.select("text", "name", "ratio")
+
+
+def best_fuzzy(left: DataFrame, right: DataFrame, least: float = 0.88, ratio=T.sequence_ratio) -> DataFrame:
+    """(text, match, ratio): the most similar name of right(name) for each left(text), ties by the greater name, if its ratio is `least` or more."""
+    r = fuzzy_pairs(left, right, least, ratio)
     return r.groupBy("text").agg(F.max_by("name", F.struct("ratio", "name")).alias("match"), F.max("ratio").alias("ratio"))
 
 
+def resolve_mentions(mentions: DataFrame, aliases: DataFrame, high: float = 0.92, mid: float = 0.8) -> DataFrame:
+    """mentions(id, text), aliases(alias, entity_id) -> one row for each mention: method, candidate, entity_id, confidence.
+
+    The first candidate phrase that is an alias decides (exact, confidence 1); else the candidate and alias of the greatest
+    ratio by insertions and deletions: fuzzy_high from `high` on, fuzzy_mid from `mid` on; else unresolved, with the text itself. Of equal
+    ratios the earlier candidate wins, then the smaller entity.
+    """
+    one = aliases.groupBy("alias").agg(F.min("entity_id").alias("entity_id"))
+    c = mentions.select("id", F.posexplode(T.candidate_phrases(T.compatible(F.coalesce("text", F.lit(""))))).alias("rank", "candidate"))
+    exact = looked_up(c, one.withColumnRenamed("alias", "candidate"), "candidate").groupBy("id").agg(F.min(F.struct("rank", "candidate", "entity_id")).alias("e"))
+    left = c.join(exact.select("id"), "id", "left_anti")
+    close = fuzzy_pairs(left.select(F.col("candidate").alias("text")), one.select(F.col("alias").alias("name")), mid, T.indel_ratio)
+    close = left.join(close, left["candidate"] == close["text"]).join(one.withColumnRenamed("alias", "name"), "name")
+    close = close.groupBy("id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "rank", "candidate", "entity_id")).alias("f"))
+    j = mentions.select("id", "text").join(exact, "id", "left").join(close, "id", "left")
+    ratio = -F.col("f.r")
+    method = F.when(F.col("e").isNotNull(), "exact").when(ratio >= high, "fuzzy_high").when(ratio >= mid, "fuzzy_mid").otherwise("unresolved")
+    return j.select(
+        "id", method.alias("method"), F.coalesce("e.candidate", "f.candidate", "text").alias("candidate"), F.coalesce("e.entity_id", "f.entity_id").alias("entity_id"),
+        F.when(F.col("e").isNotNull(), 1.0).otherwise(F.round(F.coalesce(ratio, F.lit(0.0)), 3)).alias("confidence"),
+    )
+
+
 def prefix_matches(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(text, alias) where text and a blank begin the alias: alias prefixes are spelled out and equi-joined."""
     words = F.split("alias", " ")

@@ -36,7 +36,7 @@ def name_normalization(spark, sf_dir):
     """STR01-05, STR09, STR17."""
     n, base = F.col("name"), T.strip_concentration(F.col("name"))
     return _names(spark, sf_dir).select(
-        "p_partkey", "name", T.normalize_text(n).alias("normalized"), base.alias("stripped"), T.base_name(n).alias("base"), T.compact(base).alias("compact"),
+        "p_partkey", "name", T.normalize_text(n, composed=False).alias("normalized"), base.alias("stripped"), T.base_name(n).alias("base"), T.compact(base).alias("compact"),
         T.slug(base).alias("slug"), T.slug_canonical(base).alias("canonical_slug"), F.replace(T.title_case(base), F.lit(" "), F.lit("")).alias("joined"),
         T.normalize_with_concentration(n)["concentration"].alias("concentration"),
     )
@@ -118,7 +118,7 @@ def candidate_phrases(spark, sf_dir):
 
 def _aliases(spark, sf_dir):
     """The first three words of each benchmark passage as a dictionary."""
-    t = T.words_of(T.normalize_text(F.col("text")))
+    t = T.words_of(T.normalize_text(F.col("text"), composed=False))
     b = B.table(spark, sf_dir, "benchmark").where(F.size(t) >= 3)
     return b.select(F.array_join(F.slice(t, 1, 3), " ").alias("alias"), F.col("item_id").alias("entity_id"), F.concat(F.lit("Item "), F.col("item_id")).alias("name"), F.concat(F.lit("Brand "), F.pmod("item_id", F.lit(5))).alias("brand"))
 
@@ -339,12 +339,21 @@ def note_extraction(spark, sf_dir):
 
 @query("fuzzy_names")
 def fuzzy_names(spark, sf_dir):
-    """STR27-29, JN34, RES11: most similar part name of altered names, in blocks."""
+    """STR27, STR28, JN34: most similar part name of names with a typo in the first word, or without it."""
     p = B.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    altered = p.select(F.concat("name", F.lit("s")).alias("text"))
+    altered = p.select(F.explode(F.array(F.concat("name", F.lit("s")), F.expr("overlay(name placing 'x' from 2)"), F.expr("substr(name, 2)"))).alias("text"))
     return R.best_fuzzy(altered, p, 0.8).withColumn("tokens", F.round(T.token_similarity(F.col("text"), F.col("match")), 4))
 
 
+@query("fuzzy_bands")
+def fuzzy_bands(spark, sf_dir):
+    """STR29, RES11: mentions resolved exactly, else by the best ratio of insertions and deletions, in two bands."""
+    p = B.table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("alias")).agg(F.min("p_partkey").alias("entity_id"))
+    cut = F.pmod("entity_id", F.lit(4))
+    text = F.when(cut == 0, F.col("alias")).when(cut == 1, F.expr("overlay(alias placing 'x' from 2)")).when(cut == 2, F.expr("substr(alias, 2, length(alias) - 4)")).otherwise(F.concat(F.lit("zq "), F.reverse("alias")))
+    return R.resolve_mentions(p.select(F.col("entity_id").alias("id"), text.alias("text")), p)
+
+
 @query("prefix_join", "SELECT DISTINCT split_part(p_name, ' ', 1) AS text, p_name AS alias FROM part")
 def prefix_join(spark, sf_dir):
     """JN33: names whose first word is the text, through spelled-out prefixes."""
