@@ -3,17 +3,16 @@
 Documents become pieces of at most `capacity` tokens; only longer documents are
 cut, the remainder first. What is left to decide depends on how many pieces there are of each
 length, a table of at most `capacity` rows whatever the input's size. Bin completion runs on that table: around the
-largest remaining length it enumerates undominated fillings, least waste first,
-prunes branches whose waste already rules out a better result than the incumbent
-(best-fit decreasing at first), and applies each chosen filling as often as the
-counts allow. Pieces of one length are interchangeable, so they are counted off
+largest remaining length it enumerates undominated fillings, least waste first, and how often to use each,
+and prunes branches whose waste, or the lower bound of what is left, rules out a better result than the incumbent
+(best-fit decreasing at first). Pieces of one length are interchangeable, so they are counted off
 within salted groups and looked up in the plan by their number.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,14 +23,14 @@ from trendloom.llm.common import materialize
 from trendloom.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
-#: Groups over which the pieces of one length are counted off.
-SALTS = 256
+#: Groups over which the pieces of one length are counted off, at least, and pieces of all lengths for each group.
+SALTS, PER_SALT = 256, 1 << 20
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and end_id, cut at capacity; ids little-endian uint32."""
+    """(_id, piece, start, length, ids_crc32[, ids]): each document's ids and end_id, cut at capacity; ids little-endian uint32."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"`{doc_id}` {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -39,7 +38,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
             out: list[list] = [[] for _ in range(5 + with_ids)]
             rows: list[int] = []
             for r, value in enumerate(batch.column(1)):
-                ids = array("I", own.ids(value.as_py() or ""))
+                ids = own.array_of(value.as_py() or "")
                 ids.append(end_id)
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(min(first, len(ids)), len(ids) + 1, capacity)]
@@ -50,108 +49,178 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
                         column.append(x)
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, t) for x, t in zip(out[1:], types, strict=False)]]
-            yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Best-fit decreasing on counts by length: [(lengths of one sequence, repetitions)]."""
-    left, out = {k: v for k, v in counts.items() if v > 0}, []
-    while left:
-        out.append(_use(left, _greedy(left, max(left), capacity)))
-    return out
-
-
-def _greedy(left: dict[int, int], largest: int, capacity: int) -> list[int]:
-    chosen, room = [largest], capacity - largest
-    for size in sorted(left, reverse=True):
-        fit = min(room // size, left[size] - chosen.count(size))
-        if fit > 0:
-            chosen += [size] * fit
-            room -= fit * size
-    return chosen
-
-
-def _use(left: dict[int, int], chosen: list[int]) -> tuple[list[int], int]:
-    need = {s: chosen.count(s) for s in chosen}
-    times = min(left[s] // n for s, n in need.items())
-    for s, n in need.items():
-        left[s] -= n * times
-        if not left[s]:
-            del left[s]
-    return chosen, times
-
-
-def fillings(left: dict[int, int], capacity: int, most_waste: int, keep: int = 3, effort: int = 6000) -> list[list[int]]:
-    """Undominated fillings around the largest length, least waste first, none that wastes more than most_waste.
-
-    Lengths are tried in falling order, so of fillings with equal waste the one
-    with larger pieces, which dominates, comes first. Enumeration ends at a
-    filling without waste, or after `effort` steps with the best found so far.
+    """Best-fit decreasing on counts by length: [(lengths of one sequence, repetitions)].
+
+    A piece goes into the open sequence with the least room that holds it; sequences of equal content are counted, not listed.
+    """
+    rooms: list[int] = []  # sorted
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(room: int, content: tuple[int, ...], times: int) -> None:
+        if times:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((content, times))
+
+    for size in sorted(counts, reverse=True):
+        n = counts[size]
+        while n > 0:
+            k = bisect_left(rooms, size)
+            if k == len(rooms):
+                room, content, times = capacity, (), n
+            else:
+                room = rooms[k]
+                content, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[k]
+            fit = room // size  # the next piece finds the least room where this one went
+            full = min(times, n // fit)
+            put(room - fit * size, content + (size,) * fit, full)
+            n -= full * fit
+            part = 0
+            if full < times and n:
+                part = 1
+                put(room - n * size, content + (size,) * n, 1)
+                n = 0
+            if content:
+                put(room, content, times - full - part)
+    return [(list(content), times) for room in rooms for content, times in open_[room]]
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that every packing needs: those of pieces over half, and what the room beside them does not hold, at the best threshold."""
+    sizes = sorted(k for k, v in counts.items() if v > 0)
+    best = -(-sum(k * counts[k] for k in sizes) // capacity)
+    big = [k for k in sizes if 2 * k > capacity]
+    n_big = sum(counts[k] for k in big)
+    small = [k for k in sizes if 2 * k <= capacity]
+    rest, beside, sum_beside, at = 0, 0, 0, 0
+    for low in reversed(small):  # pieces from `low` on count, and only pieces of up to capacity - low have room for one beside them
+        rest += low * counts[low]
+        while at < len(big) and big[at] <= capacity - low:
+            beside, sum_beside, at = beside + counts[big[at]], sum_beside + big[at] * counts[big[at]], at + 1
+        best = max(best, n_big + max(0, -(-(rest - (beside * capacity - sum_beside)) // capacity)))
+    return max(best, n_big)
+
+
+def dominated(chosen: list[int], left: dict[int, int], sizes: list[int], waste: int) -> bool:
+    """Whether a piece that is left could take the place of some of the filling's pieces and fill it at least as well.
+
+    All subsets of up to twelve pieces are tried, of more pieces those of one or two: fewer fillings are then ruled out, none wrongly.
+    """
+    rest = chosen[1:]
+    most = len(rest) if len(rest) <= 12 else 2
+    sums = {0: 0}
+    for size in rest:
+        for total, k in list(sums.items()):
+            if k < most and sums.get(total + size, 0) <= k:
+                sums[total + size] = k + 1
+    used = {x: chosen.count(x) for x in chosen}
+    for total, k in sums.items():
+        for x in sizes[bisect_left(sizes, max(total, 1)) : bisect_right(sizes, total + waste)]:
+            if left[x] > used.get(x, 0) and (x > total or k > 1):
+                return True
+    return False
+
+
+def fillings(left: dict[int, int], capacity: int, most_waste: int) -> Iterator[tuple[int, list[int] | None]]:
+    """(waste, lengths) of the undominated fillings around the largest length, least waste first, then larger pieces first; None for a dominated one.
+
+    Sums that the smaller pieces reach are bit sets, so the search for one waste enters hardly any branch without a filling.
     """
     largest = max(left)
-    sizes = [s for s in sorted(left, reverse=True) if s <= capacity - largest and (s < largest or left[s] > 1)]
-    found: dict[int, list[int]] = {}
-    greedy = _greedy(left, largest, capacity)
-    if capacity - sum(greedy) <= most_waste:
-        found[capacity - sum(greedy)] = greedy
-    steps = 0
-    stack: list[tuple[int, int, list[int]]] = [(0, capacity - largest, [largest])]
-    while stack and 0 not in found and steps < effort:
-        i, room, chosen = stack.pop()
-        steps += 1
-        if room in left and room <= (chosen[-1] if len(chosen) > 1 else room) and left[room] > chosen.count(room):
-            found.setdefault(0, [*chosen, room])
-            break
-        if room <= most_waste and room not in found and not any(s <= room and left[s] > chosen.count(s) for s in sizes[-1:]):
-            found[room] = chosen
-        branch = []
-        for k in range(i, len(sizes)):
-            s = sizes[k]
-            if s <= room and left[s] > chosen.count(s):
-                branch.append((k, room - s, [*chosen, s]))
-                if len(branch) >= 64:
-                    break
-        stack += reversed(branch)
-    return [found[w] for w in sorted(found)[:keep]]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 1_500) -> list[tuple[list[int], int]]:
+    room = capacity - largest
+    sizes = sorted(s for s in left if s <= room and (s < largest or left[s] > 1))
+    reach = [1]  # sums of the sizes below each place
+    for s in sizes:
+        bits, n = reach[-1], min(left[s] - (s == largest), room // s)
+        step = 1
+        while n > 0:  # n copies as powers of two and a rest
+            bits |= bits << (s * min(step, n))
+            n, step = n - min(step, n), step * 2
+        reach.append(bits & ((1 << (room + 1)) - 1))
+
+    def spelled(k: int, need: int) -> Iterator[list[int]]:
+        if need == 0:
+            yield []
+            return
+        for i in range(min(k, bisect_right(sizes, need)), 0, -1):
+            if not reach[i] >> need & 1:
+                return
+            s = sizes[i - 1]
+            for times in range(min(left[s] - (s == largest), need // s), 0, -1):
+                if reach[i - 1] >> (need - times * s) & 1:
+                    for rest in spelled(i - 1, need - times * s):
+                        yield [s] * times + rest
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for rest in spelled(len(sizes), room - waste):
+                ruled_out = waste and dominated([largest, *rest], left, sizes, waste)
+                yield waste, None if ruled_out else [largest, *rest]
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000) -> list[tuple[list[int], int]]:
     """A packing [(lengths of one sequence, repetitions)] of all counted pieces into few sequences.
 
-    The incumbent is best-fit decreasing; the search stops at the lower bound
-    ceil(total / capacity), or `nodes` nodes beyond two whole descents, with the best packing so far.
+    Depth first: a branch is an undominated filling around the largest length left and how often it is used,
+    as often as the counts allow at first. A branch ends when its waste, or the lower bound of what is left, rules out a packing
+    better than the best one so far, best-fit decreasing at the start; fillings of one length are used in one order. The search stops at the lower
+    bound of all, or after `nodes` fillings beyond a whole descent, dominated ones included, with the best packing so far: all pieces are packed either way.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     best = best_fit(counts, capacity)
-    total = sum(k * v for k, v in counts.items())
-    bins = sum(t for _, t in best)
-    bound = -(-total // capacity)
-    stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
-    seen = 0
-    most = nodes + 2 * len(best)  # always enough for a whole descent
+    total, bins, bound = sum(k * v for k, v in counts.items()), sum(t for _, t in best), lower_bound(counts, capacity)
+    if bins <= bound:
+        return best
+
+    def branches(left: dict[int, int], used: int, waste: int, after: tuple | None) -> Iterator[tuple]:
+        largest = max(left)
+        for loss, chosen in fillings(left, capacity, (bins - 1) * capacity - total - waste):
+            if chosen is None:
+                yield ()
+                continue
+            key = (loss, [-x for x in chosen])
+            if after and after[0] == largest and key <= after[1]:
+                continue
+            need = {x: chosen.count(x) for x in chosen}
+            for times in range(min(left[x] // n for x, n in need.items()), 0, -1):
+                if waste + loss * times > (bins - 1) * capacity - total:
+                    continue
+                rest = {x: n - need.get(x, 0) * times for x, n in left.items() if n > need.get(x, 0) * times}
+                if used + times + lower_bound(rest, capacity) < bins:
+                    yield rest, chosen, times, used + times, waste + loss * times, (largest, key)
+
+    plan: list[tuple[list[int], int]] = []
+    stack = [branches(counts, 0, 0, None)]
+    seen, most = 0, nodes + len(best)
     while stack and bins > bound and seen < most:
-        left, plan, used, waste = stack.pop()
-        seen += 1
-        if not left:
-            if used < bins:
-                best, bins = plan, used
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if plan:
+                plan.pop()
             continue
-        spare = (bins - 1) * capacity - total  # a better packing wastes no more than this
-        if waste > spare:
+        seen += 1
+        if step == ():
             continue
-        for chosen in reversed(fillings(left, capacity, spare - waste)):
-            rest = dict(left)
-            _, times = _use(rest, chosen)
-            loss = (capacity - sum(chosen)) * times
-            if waste + loss <= spare:
-                stack.append((rest, [*plan, (chosen, times)], used + times, waste + loss))
+        rest, chosen, times, used, waste, after = step
+        if rest:
+            plan.append((chosen, times))
+            stack.append(branches(rest, used, waste, after))
+        elif used < bins:
+            best, bins = [*plan, (chosen, times)], used
     return best
 
 
-def place(cut: DataFrame, doc_id: str = "doc_id", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """cut(doc_id, piece, length, ...), a materialized table, with sequence_id and offset; empty in, empty out."""
+def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """cut(length, ...), a materialized table, with sequence_id and offset; empty in, empty out. Pieces of one length take their places in the table's order."""
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots, base, taken = [], 0, dict.fromkeys(counts, 0)
@@ -163,14 +232,15 @@ def place(cut: DataFrame, doc_id: str = "doc_id", capacity: int = CAPACITY, salt
             offset += size
         base += times
     plan = spark.createDataFrame(slots, "length long, _from long, _to long, _shift long, offset long")
-    salt = F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32"), F.lit(salts))
-    salted = cut.withColumn("_salt", salt)
+    salts = max(SALTS, sum(counts.values()) // PER_SALT)
+    row = cut.withColumn("_row", F.monotonically_increasing_id())  # tells repeated rows apart, so that they spread too
+    salted = row.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = before.withColumn(
         "_before",
         F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(doc_id, "piece", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row"))
     ranked = salted.withColumn("_rank", rank).join(before, ["length", "_salt"])
     ranked = ranked.withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     # the plan has a row for each slot of each filling: a few thousand, bounded by the capacity and not by the input
@@ -181,13 +251,14 @@ def place(cut: DataFrame, doc_id: str = "doc_id", capacity: int = CAPACITY, salt
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
+    """One row for each piece: the id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
     Null and empty texts are the end id alone, so every document has a piece.
-    Repeated rows are packed as often as they occur. Columns of docs other than
-    the id and the text are not carried. Empty in, empty out.
+    Repeated rows are packed as often as they occur, and pieces of one length, which are all alike here, in any order. Columns of docs other than
+    the id and the text are not carried. The id's column may have any name but those of the output. Empty in, empty out.
     """
-    return place(materialize(pieces(docs, text, doc_id, vocabulary, capacity, end_id, with_ids), "pieces"), doc_id, capacity)
+    placed = place(materialize(pieces(docs, text, doc_id, vocabulary, capacity, end_id, with_ids), "pieces"), capacity)
+    return placed.withColumnRenamed("_id", doc_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
