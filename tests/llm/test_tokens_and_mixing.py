@@ -22,10 +22,22 @@ def test_resynchronised_equals_whole(own):
     alphabet = ["a", "bc", " ", "  ", "\n", "é", "你", "🙂", "'s", "12", ".", SPECIAL, "word", " the"]
     for _ in range(60):
         text = "".join(random.choices(alphabet, k=random.randint(0, 600)))
-        assert own.resynchronised(text, random.choice((16, 50, 200)), random.choice((1, 4, 30))) == own.whole(text) == own.ids(text)
+        assert own.resynchronised(text, random.choice((16, 50, 200)), random.choice((1, 4, 30))) == own.whole(text) == own.array_of(text, 16).tolist()
     assert own.resynchronised("x" * 3000, 100, 8) == own.whole("x" * 3000)  # no boundary at all
 
 
+def test_second_encoder_equals_the_library(own):
+    """Every code point in three contexts, and all texts of a table, long ones from stable boundary to stable boundary."""
+    import duckdb
+
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    lines = ["".join(f"{a}{c}{b}" for c in points[i : i + 256]) for a, b in (("a", " "), (" ", "1"), ("'", "\n")) for i in range(0, len(points), 256 * 7)]
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    for t in [*lines, *texts]:
+        assert own.array_of(t).tolist() == own.whole(t)
+    assert own.counts(texts[:50]) == [len(own.whole(t)) for t in texts[:50]]
+
+
 def test_token_counts_edges(spark, own):
     schema = "doc_id long, text string, n_tokens string"
     assert tokens.token_counts(spark.createDataFrame([], schema)).count() == 0
@@ -85,8 +97,8 @@ def test_bin_completion_is_optimal_on_small_cases():
         go(0, [])
         return best[0]
 
-    for _ in range(40):
-        items = sorted((random.randint(1, 20) for _ in range(random.randint(1, 9))), reverse=True)
+    for _ in range(60):
+        items = sorted((random.randint(1, 20) for _ in range(random.randint(1, 15))), reverse=True)
         plan = packing.bin_completion(collections.Counter(items), 20)
         used = collections.Counter()
         for chosen, times in plan:
@@ -96,6 +108,41 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert used == collections.Counter(items) and sum(t for _, t in plan) == optimum(items, 20)
 
 
+def _best_fit_one_by_one(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = [(r, k) for k, r in enumerate(rooms) if r >= x]
+        if fit:
+            rooms[min(fit)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def test_search_beats_best_fit():
+    random.seed(4)
+    for _ in range(200):
+        items = [random.randint(1, 60) for _ in range(random.randint(1, 40))]
+        assert sum(t for _, t in packing.best_fit(collections.Counter(items), 100)) == _best_fit_one_by_one(items, 100)
+    random.seed(1)
+    counts = collections.Counter(random.randint(500, 800) for _ in range(3000))
+    plan = packing.bin_completion(counts, 2048)
+    used = collections.Counter()
+    for chosen, times in plan:
+        assert sum(chosen) <= 2048
+        for s in chosen:
+            used[s] += times
+    start, bound = sum(t for _, t in packing.best_fit(counts, 2048)), packing.lower_bound(counts, 2048)
+    assert used == counts and bound <= sum(t for _, t in plan) <= start - 20
+    assert all(packing.lower_bound({a: 2, b: 3}, 100) <= 5 for a in range(1, 101) for b in range(1, 101) if a != b)
+
+
+def test_pack_with_an_id_of_any_name(spark):
+    rows = [(7, "a b", "x"), (7, "a b", "y"), (None, None, None)]
+    out = packing.pack(spark.createDataFrame(rows, "Text_Id long, text string, length string"), doc_id="Text_Id", with_ids=False)
+    assert out.columns[0] == "Text_Id" and sorted((r.Text_Id or 0, r.length) for r in out.collect()) == [(0, 1), (7, 3), (7, 3)]
+
+
 def test_mixture_reaches_its_weights(spark):
     rows = [(i, "x" * 99, "big" if i % 10 else "small") for i in range(4000)] + [(5000, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -10,25 +10,29 @@ the boundary is encoded alike whatever came before it. Where an overlap holds no
 such boundary, or the encodings do not both break there, the overlap is
 doubled; in the end the rest of the text is encoded whole.
 
-Texts below that length go through a second encoder of the same vocabulary
-(ranks file), which gives the same ids faster; a worker uses it only after both
+Counts come from the vocabulary's own library. Packing, which has less time for a text, takes its ids from a second encoder of
+the same vocabulary (ranks file): same splitting pattern, same merges in the same order, so the same ids, as tests
+compare on all code points and on whole tables. A worker uses it only after both
 agreed on a probe, and texts with a special string always go to the first one.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import package_path, without
+from trendloom.llm.common import package_path, slices, text_buffer, without
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK = 32_768
+CHUNK = 8_192
 OVERLAP = 256
 
 _PROBE = "Don't stop, l'été déjà!  It's 3,000\tµm \n\n naïve ñandú 你好🙂 <tag> a_b'll --==## ''' 12ab x  "
@@ -48,6 +52,7 @@ class Encoder:
             return
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
@@ -55,8 +60,6 @@ class Encoder:
         self.fast = self._second(path)
 
     def _second(self, path: str):
-        import os
-
         if not os.path.exists(ranks_file := path.removesuffix(".json") + ".tiktoken"):
             return None
         import public_tokenizers
@@ -73,10 +76,25 @@ class Encoder:
             return self.pieces.encode(text, num_threads=1)
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not any(s in text for s in self.special):
-            return self.fast.encode_ordinary(text)
-        return self.whole(text)
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of ids of short texts, by the vocabulary's own library."""
+        if self.pieces is not None:
+            return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
+        return [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def array_of(self, text: str, chunk: int = CHUNK) -> array:
+        """ids of a text of any length, by the second encoder where it may be used, from stable boundary to stable boundary."""
+        if self.fast is None or any(s in text for s in self.special):
+            return array("I", self.resynchronised(text))
+        out, at = array("I"), 0
+        while at < len(text):
+            end = at + chunk
+            while end < len(text) and not (p := _stable_before(text, at, end)):
+                end += chunk
+            end = p if end < len(text) else len(text)
+            out.extend(self.fast.encode_ordinary(text[at:end]))
+            at = end
+        return out
 
     def resynchronised(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         """ids of a long text from overlapping chunks, equal to whole(text)."""
@@ -112,6 +130,14 @@ def stable(text: str, p: int) -> bool:
     return text[p] == " " and text[p - 1].isalnum() and text[p + 1].isalnum()
 
 
+def _stable_before(text: str, a: int, b: int) -> int:
+    """The last stable boundary in text[a + 1:b], or 0."""
+    p = text.rfind(" ", a + 1, b)
+    while p > a and not stable(text, p):
+        p = text.rfind(" ", a + 1, p)
+    return max(p, 0)
+
+
 def _break(spans: tuple[list[int], list[tuple[int, int]]], p: int) -> int | None:
     """The number of tokens that end at or before p, if the next one begins at p or after it."""
     offsets = spans[1]
@@ -152,13 +178,18 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            size, count = [], []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                s = value.as_py() or ""
-                size.append(len(s.encode()))
-                count.append(len(own.ids(s) if len(s) <= chunk else own.resynchronised(s, chunk, overlap)))
+            column = batch.column(batch.schema.get_field_index(text))
+            _, at = text_buffer(column)
+            size, count = np.diff(at), np.zeros(batch.num_rows, np.int64)
+            for i, j in slices(at, 1 << 20):
+                texts = [s or "" for s in column.slice(i, j - i).to_pylist()]
+                short = [k for k, s in enumerate(texts) if len(s) <= chunk]
+                count[[i + k for k in short]] = own.counts([texts[k] for k in short])
+                for k, s in enumerate(texts):
+                    if len(s) > chunk:
+                        count[i + k] = len(own.resynchronised(s, chunk, overlap))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
-            over = pa.array([n > limit for n in count], pa.bool_())
+            over = pa.array(count > limit)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(count, pa.int64()), over], names=[*others, *made])
 
     return docs.select(*[F.col(f"`{c}`") for c in [*others, text]]).mapInArrow(run, typed.schema)
