@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from trendloom.llm import embedding_dedup, exact_dedup, line_dedup, simhash
-from trendloom.llm.common import components
+from trendloom.llm.common import components, connected, forest
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, kept string, _row int"
@@ -167,7 +167,7 @@ def test_embeddings_against_brute_force(spark):
     rows = [(i, [float(v) for v in x[i]], i % 2) for i in range(len(x))]
     n = len(rows)
     rows += [(n, None, 0), (n + 1, [0.0] * 24, 0), (n + 2, [float("nan")] + [1.0] * 23, 0), (n + 3, [None] + [1.0] * 23, 0), (n + 4, rows[0][1], None), (n + 5, rows[0][1][:8], 0), (n + 6, [], 0)]
-    got = {r.vec_id: r for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), sigmas=4.0).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     label = np.arange(n) % 2
@@ -317,3 +317,42 @@ def test_fingerprint_columns_that_clash(spark):
         out = made(docs)
         assert out.columns == ["doc_id", "node", "_fp", "_label", "component_id"]
         assert {(r.doc_id, r.node, r.component_id) for r in out.collect()} == {(1, 1, 1), (2, 2, 1)}
+
+
+def test_forest_and_connected_against_union_find():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        a, b = rng.integers(0, 30, 25), rng.integers(0, 30, 25)
+        label = list(range(30))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = label[x], label[y]
+            label = [min(p, q) if z in (p, q) else z for z in label]
+        nodes, low = connected(a, b)
+        assert dict(zip(nodes.tolist(), low.tolist(), strict=True)) == {x: label[x] for x in {*a.tolist(), *b.tolist()} if label[x] != x}
+        p, q = forest(a, b)
+        assert len(p) == len({*a.tolist(), *b.tolist()}) - len({label[x] for x in {*a.tolist(), *b.tolist()}})
+        assert {frozenset(e) for e in zip(p.tolist(), q.tolist(), strict=True)} <= {frozenset(e) for e in zip(a.tolist(), b.tolist(), strict=True)}
+    assert not len(forest(np.zeros(0, int), np.zeros(0, int))[0])
+
+
+def test_embeddings_tiny_huge_and_many_lists(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1e200, 0.0], 0), (5, [0.0, 5e-324], 0)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    old, embedding_dedup.FLAT = embedding_dedup.FLAT, 20  # two levels
+    try:
+        index = embedding_dedup.fit(x, 30_000, 0.93, 4.0)
+    finally:
+        embedding_dedup.FLAT = old
+    assert len(index.tops) > 1 and index.first[-1] == len(index.centroids)
+    y = x + 0.09 * rng.standard_normal(x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    linked = (x * y).sum(axis=1) >= 0.93
+    home, (r, k) = embedding_dedup.place(index, y), embedding_dedup.probes(index, x)
+    found = np.zeros(len(x), bool)
+    found[r[k == home[r]]] = True
+    assert linked.sum() > 300 and found[linked].mean() > 0.995
+    assert embedding_dedup.wanted_lists(10**11) > 100_000 and embedding_dedup.wanted_sample(10**11) == embedding_dedup.TRAIN_VECTORS

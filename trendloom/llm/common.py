@@ -126,6 +126,43 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["x"] or 0
 
 
+def _lowest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that the edges x - y connect each one with."""
+    low = np.arange(n)
+    while True:
+        new, least = low.copy(), np.minimum(low[x], low[y])
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        np.minimum.at(new, low, new)  # what a node learns holds for the one it stood for
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that it is connected with) of the edges a - b, for all nodes but the smallest ones, on arrays alone."""
+    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    low = _lowest(len(nodes), index[: len(a)], index[len(a) :])
+    other = low != np.arange(len(nodes))
+    return nodes[other], nodes[low[other]]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a - b that form a spanning forest: in rounds, each tree takes the first edge that leaves it."""
+    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, keep = index[: len(a)], index[len(a) :], np.zeros(len(a), bool)
+    tree = np.arange(len(nodes))
+    while len(live := np.flatnonzero(tree[x] != tree[y])):
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, tree[x[live]], live)
+        np.minimum.at(first, tree[y[live]], live)
+        taken = np.unique(first[first < len(a)])
+        keep[taken] = True
+        tree = _lowest(len(nodes), tree[x[taken]], tree[y[taken]])[tree]
+    return a[keep], b[keep]
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without copying texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,15 +5,16 @@ fitted on a bounded sample of unit vectors; every vector is indexed, with its li
 its codes and the exact length of its quantisation error. A query probes
 every list that lies within a margin of its own cell, measured across the bisecting plane of the two
 centroids: a vector within the link radius moves its query across that plane by
-more than `sigmas` standard deviations of a random direction only with negligible chance. In
+more than `sigmas` standard deviations of a random direction only with negligible chance. Of two lists
+one asks the other, so each pair is searched from one side. In
 a probed list, asymmetric distances come from lookup tables; a member is a candidate unless its
 distance minus its quantisation error exceeds the radius, which loses
 nothing, and candidates are reranked by the exact cosine in double precision.
 
 Work is dealt out in tiles: the members of a list within a label in blocks of bounded size,
 its queries in blocks of bounded size, every pair of blocks one task's group. Identical vectors
-are one class with a count beforehand. Tiles report sums of links and a
-spanning forest of the linked pairs, not the pairs.
+are one class with a count beforehand. Tiles report sums of links and what each
+vector is connected with, not the pairs.
 """
 
 from __future__ import annotations
@@ -25,21 +26,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from trendloom.llm.common import again, bounded_sample, components, materialize
-from trendloom.llm.simhash import forest
+from trendloom.llm.common import again, bounded_sample, components, connected, materialize
 
 THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on, at most.
-TRAIN_VECTORS = 20_000
+TRAIN_VECTORS = 400_000
 SUBSPACES = 8
+#: Lists up to which the coarse quantiser has one level.
+FLAT = 1_024
+SIGMAS = 4.0
 MEMBERS, QUERIES = 2_048, 8_192
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray  # [lists, dim]
-    books: np.ndarray  # [subspaces, 256, dim / subspaces], dim padded with zeros
+    tops: np.ndarray  # [cells, dim], dim padded with zeros
+    centroids: np.ndarray  # [lists, dim], cell by cell
+    first: np.ndarray  # the first list of each cell, and their number
+    books: np.ndarray  # [subspaces, 256, dim / subspaces]
     margin: float
 
 
@@ -56,67 +62,122 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * (centres**2).sum(axis=1)
-    return np.concatenate([(x[i : i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)])
+    return np.concatenate([np.zeros(0, np.int64), *[(x[i : i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]])
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, -x.shape[1] % SUBSPACES)))
 
 
+def wanted_lists(n: int) -> int:
+    """About sqrt(n) / 2 lists, so that a list grows like the root of the input."""
+    return int(max(4, n**0.5 / 2))
+
+
+def wanted_sample(n: int) -> int:
+    """Vectors to fit on: eight for each list, 20,000 at least and TRAIN_VECTORS at most."""
+    return int(min(TRAIN_VECTORS, max(20_000, 8 * wanted_lists(n))))
+
+
 def fit(sample: np.ndarray, n: int, threshold: float, sigmas: float) -> Index:
-    """Quantisers from unit vectors; about sqrt(n) / 2 lists, 4 to 4096, no more than a sixteenth of the sample."""
+    """Quantisers from unit vectors; beyond FLAT lists the coarse one has two levels, cells and lists inside each cell."""
     dim = sample.shape[1]
-    lists = int(min(4096, max(4, n**0.5 / 2), max(1, len(sample) // 16)))
     x = _padded(sample)
-    centroids = _kmeans(x, min(lists, len(x)))
-    rest = x - centroids[_nearest(x, centroids)]
+    lists = min(wanted_lists(n), max(1, len(x) // 8))
+    cells = 1 if lists <= FLAT else int(lists**0.5)
+    tops = _kmeans(x, min(cells, len(x)))
+    of = _nearest(x, tops)
+    leaves, first = [], [0]
+    for c in range(len(tops)):
+        own = x[of == c]
+        leaves.append(_kmeans(own, min(max(1, -(-lists // cells)), len(own))) if len(own) else tops[c : c + 1])
+        first.append(first[-1] + len(leaves[-1]))
+    index = Index(tops, np.concatenate(leaves), np.array(first), np.zeros((SUBSPACES, 256, x.shape[1] // SUBSPACES)), sigmas * (2 - 2 * threshold) ** 0.5 / dim**0.5)
+    rest = x - index.centroids[place(index, x)]
     parts = np.split(rest, SUBSPACES, axis=1)
-    books = np.stack([np.resize(_kmeans(p, min(256, len(p))), (256, p.shape[1])) for p in parts])
-    radius = (2 - 2 * threshold) ** 0.5
-    return Index(centroids, books, sigmas * radius / dim**0.5)
+    index.books = np.stack([np.resize(_kmeans(p, min(256, len(p))), (256, p.shape[1])) for p in parts])
+    return index
+
+
+def place(index: Index, x: np.ndarray) -> np.ndarray:
+    """The list of each vector: the nearest one in the nearest cell."""
+    of, out = _nearest(x, index.tops), np.zeros(len(x), np.int64)
+    for c in np.unique(of):
+        rows = np.flatnonzero(of == c)
+        out[rows] = index.first[c] + _nearest(x[rows], index.centroids[index.first[c] : index.first[c + 1]])
+    return out
+
+
+def _beyond(x: np.ndarray, centres: np.ndarray, margin: float) -> np.ndarray:
+    """[vectors, centres]: whether the plane between the nearest centre and this one is within the margin."""
+    square = (centres**2).sum(axis=1)
+    far = square - 2 * x @ centres.T
+    near = far.argmin(axis=1)
+    apart = np.sqrt(np.maximum(square[near][:, None] + square - 2 * centres[near] @ centres.T, 0))
+    return ((far - far[np.arange(len(x)), near][:, None]) / (2 * np.maximum(apart, 1e-9)) <= margin) | (apart < 1e-6)
+
+
+def probes(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vector number, list) of every list to search for each vector, sorted by vector."""
+    rows, lists = [], []
+    near = _beyond(x, index.tops, index.margin)
+    for c in np.flatnonzero(near.any(axis=0)):
+        own = np.flatnonzero(near[:, c])
+        r, k = np.nonzero(_beyond(x[own], index.centroids[index.first[c] : index.first[c + 1]], index.margin))
+        rows.append(own[r])
+        lists.append(k + index.first[c])
+    rows, lists = np.concatenate(rows), np.concatenate(lists)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], lists[order]
+
+
+def asks(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of two different lists one asks the other, a list asks itself: each pair of vectors is searched from one side."""
+    return (own == other) | (((own ^ other) & 1).astype(bool) == (own < other))
 
 
 def _unit(batch: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors scaled by powers of two, so that no square overflows or vanishes, unit vectors), in doubles."""
     raw = np.asarray(batch.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    _, power = np.frexp(np.abs(raw).max(axis=1, keepdims=True))
+    raw = np.ldexp(raw, -power)
     return raw, raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _indexed(index, dim: int, label: str):
+def _indexed(index, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        square = (own.centroids**2).sum(axis=1)
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)
                 _, unit = _unit(batch.column(2), dim)
                 x = _padded(unit)
-                near = _nearest(x, own.centroids)
+                near = place(own, x)
                 rest = x - own.centroids[near]
                 codes = np.stack([_nearest(p, b) for p, b in zip(np.split(rest, SUBSPACES, axis=1), own.books, strict=True)], axis=1).astype(np.uint8)
                 decoded = own.centroids[near] + np.concatenate([own.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
                 error = np.linalg.norm(x - decoded, axis=1)
-                far = square - 2 * x @ own.centroids.T
-                apart = np.sqrt(np.maximum(square[near][:, None] + square - 2 * own.centroids[near] @ own.centroids.T, 0))
-                gap = (far - far[np.arange(len(x)), near][:, None]) / (2 * np.maximum(apart, 1e-9))
-                rows, lists = np.nonzero((gap <= own.margin) | (apart < 1e-6))
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(x))))).astype(np.int32)
+                rows, lists = probes(own, x)
+                keep = asks(near[rows], lists)
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(rows[keep], minlength=len(x))))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), batch.column(2), batch.column(3),
                         pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists[keep].astype(np.int32))),
                     ],
-                    names=["_rep", label, "_v", "_mult", "_list", "_codes", "_error", "_probes"],
+                    names=["_rep", "_label", "_v", "_mult", "_list", "_codes", "_error", "_probes"],
                 )
 
     return run
 
 
-def tile_links(index: Index, list_no: int, members: tuple, queries: tuple, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of each query, edge ends, edge ends) between queries (ids, raw, unit) and one list's members (ids, raw, unit, codes, errors, counts)."""
+def tile_links(index: Index, list_no: int, members: tuple, queries: tuple, threshold: float, block: int = 256) -> tuple[np.ndarray, ...]:
+    """(links of each query, links of each member, node, node that links connect it with) between queries (ids, raw, unit, counts, whether of this
+    list) and one list's members (ids, raw, unit, codes, errors, counts). Pairs inside the list are counted from both sides as queries."""
     ids, raw, unit, codes, errors, counts = members
-    qids, qraw, qunit = queries
-    found, a, b = np.zeros(len(qids), np.int64), [], []
+    qids, qraw, qunit, qcounts, at_home = queries
+    found, back, a, b = np.zeros(len(qids)), np.zeros(len(ids)), [], []
     radius = (2 - 2 * threshold) ** 0.5
     decoded = index.centroids[list_no] + np.concatenate([index.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
     length = (decoded**2).sum(axis=1)
@@ -139,12 +200,14 @@ def tile_links(index: Index, list_no: int, members: tuple, queries: tuple, thres
             cos = own @ raw[c].T / (np.linalg.norm(own, axis=1)[:, None] * norms[c])
             x, y = np.nonzero((cos >= threshold) & mask[np.ix_(r, c)])
             x, y = r[x], c[y]
-        found[i : i + block] += np.bincount(x, counts[y], len(q)).astype(np.int64)
-        p, s = forest(qids[i + x], ids[y])
+        found[i : i + block] += np.bincount(x, counts[y], len(q))
+        away = ~at_home[i + x]
+        back += np.bincount(y[away], qcounts[i + x[away]], len(ids))
+        p, s = connected(qids[i + x], ids[y])
         a.append(p)
         b.append(s)
     empty = np.zeros(0, np.int64)
-    return found, np.concatenate([empty, *a]), np.concatenate([empty, *b])
+    return found.astype(np.int64), back.astype(np.int64), *connected(np.concatenate([empty, *a]), np.concatenate([empty, *b]))
 
 
 def _tile(index, dim: int, threshold: float):
@@ -157,16 +220,18 @@ def _tile(index, dim: int, threshold: float):
         raw, unit = _unit(left.column("_v").combine_chunks(), dim)
         qraw, qunit = _unit(right.column("_v").combine_chunks(), dim)
         codes = np.frombuffer(b"".join(left.column("_codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
+        list_no = left.column("_list")[0].as_py()
         members = (left.column("_rep").to_numpy(), raw, unit, codes, left.column("_error").to_numpy(), left.column("_mult").to_numpy())
-        qids = right.column("_rep").to_numpy()
-        n, a, b = tile_links(index.value, left.column("_list")[0].as_py(), members, (qids, qraw, qunit), threshold)
-        some = n > 0
+        queries = (right.column("_rep").to_numpy(), qraw, qunit, right.column("_mult").to_numpy(), right.column("_own").to_numpy() == list_no)
+        n, m, a, b = tile_links(index.value, list_no, members, queries, threshold)
+        counted = pa.array(np.concatenate((queries[0][n > 0], members[0][m > 0])))
+        number = pa.array(np.concatenate((n[n > 0], m[m > 0])))
         return pa.table(
             [
-                pa.concat_arrays([pa.array(qids[some]), pa.nulls(len(a), pa.int64())]),
-                pa.concat_arrays([pa.array(n[some]), pa.nulls(len(a), pa.int64())]),
-                pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(a, pa.int64())]),
-                pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(b, pa.int64())]),
+                pa.concat_arrays([counted, pa.nulls(len(a), pa.int64())]),
+                pa.concat_arrays([number, pa.nulls(len(a), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(a, pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(b, pa.int64())]),
             ],
             schema=schema,
         )
@@ -174,7 +239,7 @@ def _tile(index, dim: int, threshold: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sigmas: float = 3.0) -> DataFrame:
+def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each input row.
 
     Vectors of different labels or lengths are not compared. A null label, id
@@ -182,7 +247,8 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     links with nothing: no links, its own component. Identical rows count as
     vectors of their own and link with each other. Empty in, empty out.
     """
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("_id"), F.col(f"`{label}`").alias("_label"), F.col(f"`{vector}`").cast("array<double>").alias("_v"))
+    kind = "float" if vectors.schema[vector].dataType == ArrayType(FloatType()) else "double"  # floats stay floats where they move, products are in doubles
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("_id"), F.col(f"`{label}`").alias("_label"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("_v"))
     fine = F.expr("forall(_v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(_v, x -> x <> 0)")
     good = rows.where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & fine)
     classes = good.groupBy("_label", "_v").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_mult"))
@@ -216,13 +282,14 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 def _search(classes: DataFrame, dim: int, threshold: float, sigmas: float) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
-    sample = classes.where(bounded_sample(classes, "_rep", TRAIN_VECTORS)).select("_rep", "_v").toPandas().sort_values("_rep")
-    raw = np.stack(sample["_v"].to_numpy()).astype(np.float64)
-    index = spark.sparkContext.broadcast(fit(raw / np.linalg.norm(raw, axis=1, keepdims=True), n, threshold, sigmas))  # at most 4096 centroids
+    sample = bounded_sample(classes.select("_rep", "_v"), "_rep", n, wanted_sample(n)).toPandas().sort_values("_rep")
+    _, unit = _unit(pa.array(sample["_v"]), dim)
+    index = spark.sparkContext.broadcast(fit(unit, n, threshold, sigmas))  # at most TRAIN_VECTORS / 8 centroids
     label = classes.schema["_label"].dataType.simpleString()
-    schema = f"_rep long, _label {label}, _v array<double>, _mult long, _list int, _codes binary, _error double, _probes array<int>"
-    listed = materialize(classes.mapInArrow(_indexed(index, dim, "_label"), schema), "vector-index")
-    asked = again(listed).select("_rep", "_label", "_v", F.explode("_probes").alias("_list"))
+    vector = classes.schema["_v"].dataType.simpleString()
+    schema = f"_rep long, _label {label}, _v {vector}, _mult long, _list int, _codes binary, _error double, _probes array<int>"
+    listed = materialize(classes.mapInArrow(_indexed(index, dim), schema), "vector-index")
+    asked = again(listed).select("_rep", "_label", "_v", "_mult", F.col("_list").alias("_own"), F.explode("_probes").alias("_list"))
     members = listed.groupBy("_label", "_list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MEMBERS))).cast("int").alias("_blocks"))
     queries = asked.groupBy("_label", "_list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERIES))).cast("int").alias("_rounds"))
     plan = materialize(members.join(queries, ["_label", "_list"]), "vector-tiles")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import components, drop, materialize, shuffle_partitions, slices, text_buffer, without
+from trendloom.llm.common import components, drop, forest, materialize, shuffle_partitions, slices, text_buffer, without
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -169,27 +169,6 @@ def stars(points: np.ndarray, codes: np.ndarray, bits: int = 64, radius: int = 3
     return forest(pairs[:, 0], pairs[:, 1])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of a spanning forest of the given ones."""
-    if not len(a):
-        return a, b
-    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
-    up, keep = list(range(len(nodes))), []
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for k, (x, y) in enumerate(zip(index[: len(a)].tolist(), index[len(a) :].tolist(), strict=True)):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            keep.append(k)
-    return a[keep], b[keep]
-
-
 def _meet(bits: int):
     def run(table: pa.Table) -> pa.Table:
         points = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("points").to_pylist()])
