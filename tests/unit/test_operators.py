@@ -198,3 +198,35 @@ def test_substring_matches_at_any_number_of_names(spark, monkeypatch):
             want[x] = max(hits, key=lambda y: (len(y), y))
     out = G.substring_matches(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(y,) for y in names], "name string"))
     assert {r.text: r.match for r in out.collect()} == want and len(want) > 30
+
+
+def test_fuzzy_pairs_lose_nothing(spark):
+    import difflib
+
+    from trendloom.functions import text as T
+    from trendloom.operators import resolver as R
+
+    random.seed(4)
+    names = sorted({"".join(random.choices("abc d", k=random.randint(1, 14))).strip() for _ in range(120)} - {""})
+    edit = lambda n, k: n[:k] + random.choice(["", "x", "ab"]) + n[k + 1 :]
+    texts = sorted({edit(random.choice(names), k) for k in range(8) for _ in range(25)} | set(names[:5]) | {"", "A"})
+    a, b = spark.createDataFrame([(t,) for t in [*texts, None]], "text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r.text, r.name): r.ratio for r in R.fuzzy_pairs(a, b, 0.88).collect()}
+    want = {(t, n): difflib.SequenceMatcher(None, t.lower(), n).ratio() for t in texts for n in names}
+    assert got == {k: v for k, v in want.items() if v >= 0.88} and len(got) > 60
+    close = {(r.text, r.name) for r in R.fuzzy_pairs(a, b, 0.8, T.indel_ratio).collect()}
+    assert close == {(t, n) for t in texts for n in names if 2 * T.common_subsequence(t.lower(), n) >= 0.8 * (len(t) + len(n)) - 1e-12}
+    assert T.common_subsequence("abcbdab", "bdcaba") == 4 and T.common_subsequence("", "a") == 0
+
+
+def test_dictionary_join_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
+    from trendloom.operators import resolver as R
+
+    texts = spark.createDataFrame([(k, "say dior sauvage elixir and ﬁne Ｄｉｏｒ now" if k % 2 else "sauvage two dior sauvage") for k in range(40)], "id long, text string")
+    aliases = spark.createDataFrame([("dior sauvage", 1, "DS", "dior"), ("dior sauvage elixir", 2, "DSE", "dior"), ("fine dior", 3, "FD", "dior"), ("two", 4, "T", "x")], "alias string, entity_id long, name string, brand string")
+    rows = lambda: sorted((r.id, r.pos, r.alias) for r in R.matches(texts, aliases).collect())
+    one = rows()
+    monkeypatch.setattr(R, "MOST_BROADCAST", -1)
+    assert rows() == one
+    want = {(1, 1, "dior sauvage"), (1, 1, "dior sauvage elixir"), (1, 5, "fine dior"), (0, 2, "dior sauvage")}  # 'two' alone is never matched
+    assert {x for x in one if x[0] < 2} == want

@@ -56,3 +56,12 @@ URL_TOKENS = ("http", "https", "www", "bit", "com", "org", "net", "html", "php",
 # Single words that are never matched alone, and phrases that are never matched.
 BLOCKED_WORDS = ("don", "pink", "dot", "smart", "standard", "heritage", "moth", "jack", "man", "two", "11", "21", "revolution", "five")
 BLOCKED_PHRASES = ("so so", "i am so so", "so i am so so")
+# Note names that texts are searched for.
+NOTE_TERMS = (
+    "lily of the valley", "ylang ylang", "rose", "jasmine", "iris", "violet", "peony", "lily", "magnolia", "tuberose", "gardenia", "freesia",
+    "carnation", "heliotrope", "neroli", "orris", "oud", "amber", "benzoin", "labdanum", "cistus", "ambergris", "frankincense", "myrrh",
+    "incense", "tonka", "vanilla", "caramel", "honey", "sandalwood", "cedar", "cedarwood", "vetiver", "patchouli", "musk", "leather", "oakmoss",
+    "tobacco", "wood", "bergamot", "lemon", "orange", "grapefruit", "lime", "mandarin", "tangerine", "cardamom", "pepper", "ginger", "nutmeg",
+    "cinnamon", "clove", "saffron", "raspberry", "blackcurrant", "peach", "apple", "strawberry", "lychee", "plum", "lavender", "rosemary",
+    "thyme", "mint", "basil", "aquatic", "marine", "sea salt", "coffee", "chocolate", "almond", "moss", "fern", "hay",
+)

@@ -35,7 +35,7 @@ def daily_counts(hits: DataFrame, key: str = "entity_id") -> DataFrame:
         F.sum(weight).cast("double").alias("mention_count"),
         F.countDistinct(F.when(counted, F.coalesce("author", F.lit("")))).alias("unique_authors"),
         F.sum(S.engagement_total(F.col("platform"), F.col("views"), F.col("likes"), F.col("comments"))).alias("engagement_sum"),
-        F.countDistinct("platform").alias("platforms"),
+        F.size(F.collect_set("platform")).cast("long").alias("platforms"),  # a handful; a second distinct count would expand all rows
         F.round(F.avg(F.when(counted, F.col("confidence").cast("decimal(10,4)"))).cast("double"), 4).alias("confidence_avg"),
     )
 
@@ -93,13 +93,13 @@ def signals(series: DataFrame, key: str = "entity_id", score: float = 15, grown:
     )
 
 
-def carry_forward(series: DataFrame, days: int = 7, key: str = "entity_id") -> DataFrame:
+def carry_forward(series: DataFrame, days: int = 7, key: str = "entity_id", last: DataFrame | None = None) -> DataFrame:
     """Zero rows for quiet entities: active by a real row within the last `days` days and without a row that day.
 
     Each real row yields the next `days` days, a bounded fan-out, and days with a real row are
-    taken out again by an anti-join; the calendar ends with the data.
+    taken out again by an anti-join; the calendar ends with the data, or with the one row _last of `last`.
     """
-    last = series.agg(F.max("day").alias("_last"))
+    last = series.agg(F.max("day").alias("_last")) if last is None else last
     real = series.where(F.col("mention_count") > 0).select(key, F.col("day").alias("_d"))
     ahead = real.select(key, F.explode(F.expr(f"sequence(_d + interval 1 day, _d + interval {days} day, interval 1 day)")).alias("day")).distinct()
     quiet = ahead.crossJoin(F.broadcast(last)).where(F.col("day") <= F.col("_last")).drop("_last")  # one row on the right

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scores as S
+from trendloom.functions import vocabulary as V
 
 # Pattern and label of topic rules.
 TOPIC_RULES = (
@@ -71,7 +72,7 @@ def tag_topics(text: Column, query: Column | None = None, subreddit: Column | No
         return F.when(F.length(clean) >= 2, F.struct(F.lit(kind).alias("topic_type"), clean.alias("topic_text")))
 
     found = [one(k, v) for k, v in (("query", query), ("subreddit", subreddit)) if v is not None]
-    found += [F.when(text.rlike(f"(?i){pattern}"), F.struct(F.lit("topic").alias("topic_type"), F.lit(label).alias("topic_text"))) for pattern, label in rules]
+    found += [F.when(text.rlike(f"(?iU){pattern}"), F.struct(F.lit("topic").alias("topic_type"), F.lit(label).alias("topic_text"))) for pattern, label in rules]
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
@@ -163,6 +164,11 @@ def vocabulary_hits(text: Column, vocabulary) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in vocabulary]))
 
 
+def note_mentions(text: Column, official: Column, vocabulary=V.NOTE_TERMS) -> Column:
+    """array<struct<note, confidence>> of the vocabulary terms in a text; 0.9 for those among the official notes, else 0.7."""
+    return F.transform(vocabulary_hits(text, vocabulary), lambda n: F.struct(n.alias("note"), F.when(F.array_contains(official, n), 0.9).otherwise(0.7).alias("confidence")))
+
+
 def canonical_notes(notes: DataFrame, merged: dict[str, str], families: dict[str, str]) -> DataFrame:
     """notes(note) with canonical and family, by merge groups and a family map of the caller."""
     key = F.trim(F.lower("note"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions import scores as S
 from trendloom.operators import series as O
 
 
@@ -17,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_of(table(spark, sf_dir, "events"))
+
+
+def content_of(e: DataFrame) -> DataFrame:
     """Events as content items; errors carry an override weight of zero."""
-    e = table(spark, sf_dir, "events")
     platform = (
         F.when(F.col("event_type") == "click", "youtube").when(F.col("event_type") == "view", "tiktok")
         .when(F.col("event_type") == "signup", "reddit").otherwise("other")
@@ -55,6 +59,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.daily_series(content(spark, sf_dir), resolved(spark, sf_dir))
 
 
+def last_day(spark: SparkSession, sf_dir: str, active: bool = False) -> DataFrame:
+    """One row: the last day (_last) of the series, with mentions if `active`. It is that of the hits, so no series is built for it."""
+    h = hits(spark, sf_dir)
+    return (h.where(S.platform_weight(F.col("platform"), F.col("override")) > 0) if active else h).agg(F.max("day").alias("_last"))
+
+
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, brand, name): part k is the entity 'Perfume k'."""
     p = table(spark, sf_dir, "part")

@@ -138,5 +138,5 @@ def summary_sentence(spark, sf_dir):
 @query("seed_rows")
 def seed_rows(spark, sf_dir):
     """SRC13-16, SCA27: catalog rows from varying headers."""
-    p = B.table(spark, sf_dir, "part")
+    p = B.table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.min("p_size").alias("p_size"))
     return N.seed_rows(p.select(F.col("p_brand").alias("House"), F.col("p_name").alias("Title"), F.concat(F.lit("launched "), F.col("p_size") + 1970).alias("Year"), F.lit("for women and men").alias("gender"))).dropDuplicates(["fragrance_id"])

@@ -64,7 +64,7 @@ def latest_signal(spark, sf_dir):
 def signals_with_entity(spark, sf_dir):
     """JN07, FLT05, API03: recent signals joined to the entity dimension."""
     s = B.series(spark, sf_dir)
-    cutoff = s.agg(F.max("day").alias("_last"))
+    cutoff = B.last_day(spark, sf_dir)
     found = O.signals(s).crossJoin(F.broadcast(cutoff)).where(F.col("day") >= F.date_sub("_last", 7))
     return found.join(B.brands(spark, sf_dir), "entity_id").select("entity_id", "day", "signal_type", "brand", "name")
 
@@ -84,7 +84,7 @@ WHERE s.day IS NULL AND a.day <= (SELECT max(day) FROM series)
 """))
 def carry_forward(spark, sf_dir):
     """SIG07, JN11, STM07: zero rows for quiet entities."""
-    return O.carry_forward(B.series(spark, sf_dir)).select("entity_id", "day", "mention_count", "growth_rate", "composite_score")
+    return O.carry_forward(B.series(spark, sf_dir), last=B.last_day(spark, sf_dir)).select("entity_id", "day", "mention_count", "growth_rate", "composite_score")
 
 
 @query("brand_rollup", B.sql("""
@@ -155,7 +155,7 @@ FROM d LEFT JOIN brands b USING (entity_id)
 def dashboard_kpis(spark, sf_dir):
     """AG07, AG08, JN24, API01: conditional counts on the latest active date."""
     active = B.series(spark, sf_dir).where("mention_count > 0")
-    last = active.agg(F.max("day").alias("_last"))
+    last = B.last_day(spark, sf_dir, active=True)
     d = active.join(F.broadcast(last), F.col("day") == F.col("_last")).join(B.brands(spark, sf_dir), "entity_id", "left")
     return d.agg(
         F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("composite_score") >= 15).alias("breakouts"), F.count_if(F.col("trend_state") == "rising").alias("rising"),
@@ -222,7 +222,7 @@ WHERE last_active IS NULL OR last_active < (SELECT max(day) FROM series) - 3
 def stale_entities(spark, sf_dir):
     """AG31, SCA18, RUL03."""
     s = B.series(spark, sf_dir)
-    last = s.agg(F.max("day").alias("_last"))
+    last = B.last_day(spark, sf_dir)
     a = B.brands(spark, sf_dir).join(s, "entity_id", "left").groupBy("entity_id").agg(F.max(F.when(F.col("mention_count") > 0, F.col("day"))).alias("last_active"))
     a = a.crossJoin(F.broadcast(last))
     return a.where(F.col("last_active").isNull() | (F.col("last_active") < F.date_sub("_last", 3))).select("entity_id", "last_active", F.datediff("_last", "last_active").alias("inactive_days"))
@@ -239,7 +239,7 @@ def alerts(spark, sf_dir):
     s = B.series(spark, sf_dir)
     kinds = F.array(*[F.lit(x) for x in ("breakout_detected", "score_above", "growth_above", "confidence_below")])
     rules = B.table(spark, sf_dir, "part").select(F.concat(F.lit("Perfume "), F.col("p_partkey").cast("string")).alias("entity_id"), F.get(kinds, F.pmod("p_partkey", F.lit(4)).cast("int")).alias("kind"))
-    last = s.agg(F.max("day").alias("_last"))
+    last = B.last_day(spark, sf_dir)
     recent = O.signals(s).where("signal_type = 'breakout'").crossJoin(F.broadcast(last)).where(F.col("day") >= F.date_sub("_last", 1)).select("entity_id").distinct().withColumn("_hit", F.lit(True))
     j = rules.join(O.latest(s), "entity_id", "left").join(recent, "entity_id", "left")
     fired = (

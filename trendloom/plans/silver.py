@@ -197,7 +197,8 @@ def ingested_and_resolved(spark, sf_dir):
     """NRM18, SUP20: landed posts normalised, resolved and joined to one record each."""
     d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     found = R.resolved_records(R.resolve(d, _aliases(spark, sf_dir)))
-    return G.signal_records(d.select("id", F.length("text").alias("n_chars")), found).where("entities IS NOT NULL")
+    r = G.signal_records(d.select("id", F.length("text").cast("long").alias("n_chars")), found).where("entities IS NOT NULL")
+    return r.select("id", "n_chars", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.col("entities.name"), ", ").alias("names"))
 
 
 @query("confidence_columns", "SELECT p_partkey, round(ln(p_size + 1.0), 6) AS confidence, round(least(ln(p_size + 1.0) / 6, 1.0), 6) AS normalized FROM part")

@@ -153,9 +153,10 @@ def _chat(spark, sf_dir):
 
 @query("resolved_records")
 def resolved_records(spark, sf_dir):
-    """RES07, SUP04: one record per document with ordered entities."""
+    """RES07, SUP04: one record per document with ordered entities, listed entity by entity."""
     docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.resolved_records(R.resolve(docs, _aliases(spark, sf_dir)))
+    r = R.resolved_records(R.resolve(docs, _aliases(spark, sf_dir)))
+    return r.select("id", F.posexplode("entities").alias("place", "e")).select("id", "e.entity_id", "e.name", "e.matched_from", F.col("place").cast("long").alias("place"))
 
 
 @query("guarded_resolution")
@@ -333,8 +334,9 @@ def note_direction(spark, sf_dir):
 @query("note_extraction")
 def note_extraction(spark, sf_dir):
     """NOT01, NOT02: vocabulary terms in documents, canonicalised."""
-    hits = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(P.vocabulary_hits(F.col("text"), ("rose", "oud", "amber", "thing", "shore"))).alias("note"))
-    return P.canonical_notes(hits, {"shore": "marine"}, {"rose": "floral", "marine": "aquatic"})
+    official = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.array(F.lit("iris"), F.lit("hay"))).otherwise(F.array().cast("array<string>"))
+    hits = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(P.note_mentions(F.col("text"), official)).alias("e")).select("doc_id", "e.*")
+    return P.canonical_notes(hits, {"oudh": "oud", "agarwood": "oud"}, {"rose": "floral", "iris": "floral", "oud": "woody", "cedar": "woody"})
 
 
 @query("fuzzy_names")
