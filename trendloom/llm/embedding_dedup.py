@@ -70,7 +70,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 
 def wanted_lists(n: int) -> int:
-    """About sqrt(n) / 2 lists, so that a list grows like the root of the input."""
+    """About sqrt(n) / 2 lists for n vectors of the largest label, so that a list grows like the root of the input."""
     return int(max(4, n**0.5 / 2))
 
 
@@ -281,10 +281,10 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
 def _search(classes: DataFrame, dim: int, threshold: float, sigmas: float) -> DataFrame:
     spark = classes.sparkSession
-    n = classes.count()
-    sample = bounded_sample(classes.select("_rep", "_v"), "_rep", n, wanted_sample(n)).toPandas().sort_values("_rep")
+    n, most = classes.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    sample = bounded_sample(classes.select("_rep", "_v"), "_rep", n, wanted_sample(most)).toPandas().sort_values("_rep")
     _, unit = _unit(pa.array(sample["_v"]), dim)
-    index = spark.sparkContext.broadcast(fit(unit, n, threshold, sigmas))  # at most TRAIN_VECTORS / 8 centroids
+    index = spark.sparkContext.broadcast(fit(unit, most, threshold, sigmas))  # at most TRAIN_VECTORS / 8 centroids
     label = classes.schema["_label"].dataType.simpleString()
     vector = classes.schema["_v"].dataType.simpleString()
     schema = f"_rep long, _label {label}, _v {vector}, _mult long, _list int, _codes binary, _error double, _probes array<int>"
