@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a byte n-gram (ASCII lower case, runs of white space
+A feature is the presence of a character n-gram (lower case, runs of white space
 as one blank, so word edges count) in a hashed table for each order; a second
 feature is its presence at least twice. On labelled rows each feature gets its log-count ratio; logistic regression
 is then fitted on the scaled presences. Features that too few rows hold, or whose
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import crc32_mod, slices, text_buffer, training_rows, without
+from trendloom.llm.common import crc32_mod, training_rows, without
 
 ORDERS = (4, 5, 6, 8)
 BITS = 19
@@ -29,9 +29,8 @@ TRAIN_ROWS = 5_000
 #: Bytes of their texts together, at most.
 TRAIN_BYTES = 64 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[9:14] = 32
+#: Characters hashed at once, which bounds the memory that a long text takes.
+PIECE = 1 << 20
 
 
 @dataclass
@@ -40,23 +39,27 @@ class Model:
     bias: float
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashed n-grams of one text, all orders, as often as they occur."""
-    low = _LOWER[raw]
-    blank = low == 32
-    low = low[~(blank & np.concatenate(([True], blank[:-1])))]
-    low = np.concatenate(([32], low, [32])).astype(np.uint64)
+def characters(text: str) -> np.ndarray:
+    """Code points of the lower-case text between two blanks, runs of white space as one blank."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (code == 32) | ((code >= 9) & (code <= 13))
+    code = np.where(blank, np.uint32(32), code)[~(blank & np.concatenate(([True], blank[:-1])))]
+    return np.concatenate((np.array([32], np.uint32), code, np.array([32], np.uint32)))
+
+
+def gram_hashes(code: np.ndarray, telling: np.ndarray | None = None) -> np.ndarray:
+    """Hashed n-grams of one text's characters, all orders, as often as they occur; those of `telling` buckets alone, if given."""
     found = []
     for k, order in enumerate(ORDERS):
-        n = len(low) - order + 1
-        if n < 1:
-            continue
-        h = np.zeros(n, np.uint64)
-        for j in range(order):
-            h = h * np.uint64(0x100000001B3) + low[j : j + n] + np.uint64(1)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append((h >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS))
+        for a in range(0, len(code) - order + 1, PIECE):
+            part = code[a : a + PIECE + order - 1].astype(np.uint64)
+            h = np.zeros(len(part) - order + 1, np.uint64)
+            for j in range(order):
+                h = h * np.uint64(0x100000001B3) + part[j : j + len(h)] + np.uint64(1)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h = (h >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS)
+            found.append(h if telling is None else h[telling[h]])
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -76,7 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, least_rows: int = 3, least_ratio:
     prior = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not 0 < positive < n:
         return Model(np.zeros(size, np.float32), prior)
-    made = lambda t: features(gram_hashes(np.frombuffer((t or "").encode(), np.uint8)))
+    made = lambda t: features(gram_hashes(characters(t or "")))
     p, q = np.ones(size, np.float32), np.ones(size, np.float32)
     for t, label in zip(texts, y, strict=True):
         (p if label else q)[made(t)] += 1
@@ -110,7 +113,7 @@ def fit(texts: list[str], labels: np.ndarray, least_rows: int = 3, least_ratio:
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without the text, with score (0 to 1) and predicted (score >= threshold).
 
-    Null counts as empty and gets the score of a text without features. Every
+    Null counts as empty and gets the score of a text without features. A text of any length is hashed in pieces. Every
     row is scored alone, so repeated rows agree. Empty in, empty out. Columns named
     score or predicted are replaced.
     """
@@ -122,13 +125,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         own = shared.value
         weights, telling = own.weights, (own.weights[:SIZE] != 0) | (own.weights[SIZE:] != 0)
         for batch in batches:
-            raw, at = text_buffer(batch.column(batch.schema.get_field_index(text)))
             z = np.full(batch.num_rows, own.bias)
-            for i, j in slices(at, 4 << 20):
-                for r in range(i, j):
-                    if at[r + 1] > at[r]:
-                        grams = gram_hashes(raw[at[r] : at[r + 1]])
-                        z[r] += weights[features(grams[telling[grams]])].sum(dtype=np.float64)
+            for r, value in enumerate(batch.column(batch.schema.get_field_index(text))):
+                if t := value.as_py():
+                    z[r] += weights[features(gram_hashes(characters(t), telling))].sum(dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*others, "score", "predicted"])
