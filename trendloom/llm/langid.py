@@ -27,6 +27,8 @@ TRAIN_ROWS = 6_000
 #: Bytes of their texts together, at most.
 TRAIN_BYTES = 64 << 20
 SWITCH = 12.0
+#: Characters that one Viterbi pass covers at most, but for a longer word.
+SEGMENT = 1 << 19
 UNKNOWN = "und"
 
 #: Unicode blocks by script, first and last code point.
@@ -149,25 +151,53 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-def predict(model: Model, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
-    """(language, score, [(language, words) of each span]) of each text; score is the share of its letters in that language's spans."""
-    texts = [t or "" for t in texts]
-    grams, first, letters, scripts, owner = words(texts)
-    if not len(first) or not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-    sizes = np.bincount(owner, minlength=len(texts))
-    label = viterbi(word_scores(model, grams, first, scripts), sizes, switch)
+def segments(text: str, most: int) -> list[str]:
+    """The text in segments of up to `most` characters, cut after white space where there is some."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most)) + 1
+        if cut <= at:
+            cut = at + most
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def predict(model: Model, texts: list[str | None], switch: float = SWITCH, segment: int = SEGMENT) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
+    """(language, score, [(language, words) of each span]) of each text; score is the share of its letters in that language's spans.
+
+    A text beyond `segment` characters is labelled segment by segment; a span may go on across their borders.
+    """
+    parts, whose = [], []
+    for i, t in enumerate(texts):
+        cut = segments(t or "", segment)
+        parts += cut
+        whose += [i] * len(cut)
     k = len(model.languages)
-    share = np.bincount(owner * k + label, letters, len(texts) * k).reshape(-1, k)
+    share = np.zeros((len(texts), max(k, 1)))
+    spans: list[list[tuple[str, int]]] = [[] for _ in texts]
+    at = 0
+    while at < len(parts) and k:
+        end, size = at, 0
+        while end < len(parts) and (end == at or size + len(parts[end]) <= 4 * segment):
+            size += len(parts[end])
+            end += 1
+        grams, first, letters, scripts, owner = words(parts[at:end])
+        if len(first):
+            sizes = np.bincount(owner, minlength=end - at)
+            label = viterbi(word_scores(model, grams, first, scripts), sizes, switch)
+            text = np.array(whose[at:end])[owner]
+            share += np.bincount(text * k + label, letters, len(texts) * k).reshape(-1, k)
+            cut = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (text[1:] != text[:-1]))))
+            for o, x, n in zip(text[cut].tolist(), label[cut].tolist(), np.diff(np.append(cut, len(label))).tolist(), strict=True):
+                if spans[o] and spans[o][-1][0] == model.languages[x]:
+                    n += spans[o].pop()[1]
+                spans[o].append((model.languages[x], n))
+        at = end
     total = share.sum(axis=1)
     top = share.argmax(axis=1)
-    score = share[np.arange(len(texts)), top] / np.maximum(total, 1)
-    cut = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (owner[1:] != owner[:-1]))))
-    spans: list[list[tuple[str, int]]] = [[] for _ in texts]
-    for o, x, size in zip(owner[cut].tolist(), label[cut].tolist(), np.diff(np.append(cut, len(label))).tolist(), strict=True):
-        spans[o].append((model.languages[x], size))
     named = [model.languages[x] if t else UNKNOWN for x, t in zip(top.tolist(), total.tolist(), strict=True)]
-    return named, score, spans
+    return named, share[np.arange(len(texts)), top] / np.maximum(total, 1), spans
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
