@@ -30,6 +30,8 @@ RANK = 48
 NEIGHBOURS = 15
 #: Rows of one matrix product.
 BLOCK = 64
+#: Bytes of a text that are counted at once; a longer one is cut at white space.
+PIECE = 1 << 20
 
 _SHAPE = np.arange(256, dtype=np.uint64)
 _SHAPE[97:123] = 1
@@ -55,10 +57,38 @@ def _hash(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def raw_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Root frequencies of each text in bytes raw[at[i]:at[i+1]], families side by side, each of unit length."""
+    """Root frequencies of each text in bytes raw[at[i]:at[i+1]], families side by side, each of unit length.
+
+    A text beyond PIECE bytes is counted piece by piece, so what would lie across a cut does not count.
+    """
+    cuts, owner = [], []
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        while b - a > PIECE:
+            blank = np.flatnonzero(raw[a + PIECE // 2 : a + PIECE] <= 32)
+            cuts.append(a)
+            owner.append(i)
+            a += PIECE // 2 + int(blank[-1]) + 1 if len(blank) else PIECE
+        cuts.append(a)
+        owner.append(i)
+    counts = np.zeros((len(at) - 1, SHAPES + GRAMS + 2), np.float64)
+    edges = np.array([*cuts, at[-1]], np.int64)
+    k = 0
+    while k < len(owner):
+        end = max(k + 1, int(np.searchsorted(edges, edges[k] + PIECE, side="right")) - 1)
+        end = min(end, len(owner))
+        np.add.at(counts, owner[k:end], _counts(raw, edges[k : end + 1]))
+        k = end
+    out = np.zeros(counts.shape, np.float32)
+    for a, b in ((0, SHAPES), (SHAPES, SHAPES + GRAMS), (SHAPES + GRAMS, SHAPES + GRAMS + 2)):
+        out[:, a:b] = np.sqrt(counts[:, a:b] / np.maximum(1, counts[:, a:b].sum(axis=1, keepdims=True)))
+    return out
+
+
+def _counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts of hashed shapes, of hashed trigrams, and of words that repeat the one before and that do not."""
     rows = len(at) - 1
     raw, at = raw[at[0] : at[-1]], at - at[0]
-    out = np.zeros((rows, SHAPES + GRAMS + 2), np.float32)
+    out = np.zeros((rows, SHAPES + GRAMS + 2), np.float64)
     n = len(raw)
     if n < 3:
         return out
@@ -70,9 +100,7 @@ def raw_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     at3 = row[2:][inner]
     shape = np.bincount(at3 * SHAPES + _hash(shape3, 11), minlength=rows * SHAPES).reshape(rows, SHAPES)
     grams = np.bincount(at3 * GRAMS + _hash(byte3 + np.uint64(7), 10), minlength=rows * GRAMS).reshape(rows, GRAMS)
-    for first, counts in ((0, shape), (SHAPES, grams)):
-        total = np.maximum(1, counts.sum(axis=1, keepdims=True))
-        out[:, first : first + counts.shape[1]] = np.sqrt(counts / total)
+    out[:, :SHAPES], out[:, SHAPES : SHAPES + GRAMS] = shape, grams
     solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     turn = np.concatenate(([True], row[1:] != row[:-1], [True]))  # words never run over a text's end
     start = np.flatnonzero(solid & (turn[:-1] | ~np.concatenate(([False], solid[:-1]))))
@@ -83,9 +111,8 @@ def raw_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         code = np.add.reduceat(np.append((b + np.uint64(1)) * power[place & 63], np.uint64(0)), np.stack([start, end], 1).ravel())[::2]
         owner = row[start]
         again = np.concatenate(([False], (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])))
-        words = np.bincount(owner, minlength=rows)
-        share = np.bincount(owner[again], minlength=rows) / np.maximum(1, words)
-        out[:, -2], out[:, -1] = np.sqrt(share), np.sqrt(np.where(words > 0, 1 - share, 0))
+        out[:, -2] = np.bincount(owner[again], minlength=rows)
+        out[:, -1] = np.bincount(owner, minlength=rows) - out[:, -2]
     return out
 
 
