@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import materialize, slices, text_buffer, without
+from trendloom.llm.common import drop, materialize, slices, text_buffer, without
 
 MIN_WORDS = 50
 
@@ -136,10 +136,13 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     first = materialize(near.groupBy("_print", "_range").agg(F.min(order).alias("_first")), "line-firsts")
     told = near.join(first, ["_print", "_range"]).withColumn("_whole", later).drop("_range", "_first")
     told = materialize(told, "line-told")
+    for used in (shared, near, first):
+        drop(used)
     mixed = told.where("NOT _whole").groupBy("_print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_print")
     mixed = materialize(mixed, "line-mixed")
     window = told.where("NOT _whole").join(mixed, "_print", "left_semi").select("_print", "_row", "_id", "_at", F.posexplode("_keys").alias("_i", "_key"))
     window = materialize(window.select("_print", "_key", "_row", "_id", (F.col("_at") + F.col("_i")).alias("_at")), "line-windows")
+    drop(mixed)
     start = window.groupBy("_print", "_key").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     again = window.join(materialize(start, "line-starts"), ["_print", "_key"]).where(later)
     cut = again.select("_row", F.struct(F.col("_at").alias("a"), F.lit(1).alias("n")).alias("c"))

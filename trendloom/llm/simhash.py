@@ -401,6 +401,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         pairs = F.when(F.col("outside"), F.array_union(to_all, from_all)).otherwise(from_all)
         found = found.unionByName(materialize(_tiles(again_, pairs, texts, words, similarity, n), "similar-links"))
         labels = components(found, "similar-cc")
+    for used in (centre, star, plan, members, texts):
+        drop(used)
     return _labelled(fp.drop("_keys", "_size", "_place").withColumnRenamed("_node", "_fp"), own.select("_fp", "_low"), labels, names)
 
 
