@@ -79,6 +79,13 @@ def normalize_text(text: Column, composed: bool = True) -> Column:
     return collapse(F.regexp_replace(F.replace(t, F.lit("'"), F.lit(" ")), r"(?U)[^\w\s]+", " "))
 
 
+def normalized_words(text: Column) -> Column:
+    """The words of normalize_text(text, composed=False), without spelling that text out: all that is no word character divides them."""
+    t = F.lower(compatible(text))
+    t = F.when(t.contains("'"), F.regexp_replace(t, r"(?U)'s\b", "")).otherwise(t)
+    return F.filter(F.split(t, r"(?U)\W+"), lambda w: w != "")
+
+
 def normalize_with_concentration(text: Column) -> Column:
     """struct(text, concentration): the first concentration term found is removed and named."""
     t = collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " "))

@@ -20,7 +20,7 @@ MOST_BROADCAST, SALTS = 200_000, 8
 
 
 def tokenized(texts: DataFrame) -> DataFrame:
-    return texts.select("id", T.words_of(T.normalize_text(F.coalesce("text", F.lit("")), composed=False)).alias("tokens"))
+    return texts.select("id", T.normalized_words(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def alias_table(aliases: DataFrame) -> DataFrame:
@@ -38,6 +38,18 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_salt", salt).join(parts, [key, "_salt"]).drop("_salt")
 
 
+def _at_heads(tokens: DataFrame, heads: DataFrame, length: int) -> DataFrame:
+    """(id, pos, w, _ns): the `length` tokens from every place that one of heads(head, _ns) holds.
+
+    With a broadcast dictionary the token array is only looked into where a head stands; for a shuffle each place has to carry its own few tokens.
+    """
+    if heads.count() <= MOST_BROADCAST:
+        at = tokens.select("id", "tokens", F.posexplode("tokens").alias("pos", "head")).join(F.broadcast(heads), "head")
+        return at.select("id", "pos", F.slice("tokens", F.col("pos") + 1, F.lit(length)).alias("w"), "_ns")
+    at = F.transform("tokens", lambda t, i: F.struct(t.alias("head"), i.alias("pos"), F.slice("tokens", i + 1, length).alias("w")))
+    return looked_up(tokens.select("id", F.explode(at).alias("x")).select("id", "x.*"), heads, "head")
+
+
 def matches(texts: DataFrame, aliases: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(id, pos, n, alias, entity_id, name, brand) of every window that is an alias; tokens are not consumed.
 
@@ -46,9 +58,7 @@ def matches(texts: DataFrame, aliases: DataFrame, longest: int = LONGEST) -> Dat
     table = alias_table(aliases)
     heads = table.where(F.col("n") <= longest).groupBy("head").agg(F.array_sort(F.collect_set("n")).alias("_ns"))  # at most `longest` lengths each
     tokens = tokenized(texts)
-    at = F.transform("tokens", lambda t, i: F.struct(t.alias("head"), i.alias("pos"), F.slice("tokens", i + 1, longest + 1).alias("w")))
-    windows = tokens.select("id", F.explode(at).alias("x")).select("id", "x.*")
-    spelled = looked_up(windows, heads, "head").select("id", "pos", "w", F.explode("_ns").alias("_n")).where(F.size("w") >= F.col("_n"))
+    spelled = _at_heads(tokens, heads, longest + 1).select("id", "pos", "w", F.explode("_ns").alias("_n")).where(F.size("w") >= F.col("_n"))
     spelled = spelled.select("id", "pos", F.array_join(F.expr("slice(w, 1, _n)"), " ").alias("alias"), F.get("w", F.col("_n")).alias("next"))
     found = looked_up(spelled, table, "alias")
     alone = F.col("n") == 1

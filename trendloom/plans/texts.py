@@ -118,7 +118,7 @@ def candidate_phrases(spark, sf_dir):
 
 def _aliases(spark, sf_dir):
     """The first three words of each benchmark passage as a dictionary."""
-    t = T.words_of(T.normalize_text(F.col("text"), composed=False))
+    t = T.normalized_words(F.col("text"))
     b = B.table(spark, sf_dir, "benchmark").where(F.size(t) >= 3)
     return b.select(F.array_join(F.slice(t, 1, 3), " ").alias("alias"), F.col("item_id").alias("entity_id"), F.concat(F.lit("Item "), F.col("item_id")).alias("name"), F.concat(F.lit("Brand "), F.pmod("item_id", F.lit(5))).alias("brand"))
 
