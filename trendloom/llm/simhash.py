@@ -179,11 +179,11 @@ def _meet(bits: int):
     return run
 
 
-def links(fps: DataFrame, n: int, bits: int = 64, per_bucket: int = 4_000_000) -> DataFrame:
+def links(fps: DataFrame, n: int, bits: int = 64, per_bucket: int = 1_000_000) -> DataFrame:
     """Edges (a, b) that connect exactly the n distinct fingerprints of fps(_fp) within three of the low bits.
 
     per_bucket is the mean number of variants that one task sorts (10 bytes
-    each), which sets the number of buckets; it drops nothing.
+    each), which sets the number of buckets and tasks; raise it where tasks get too many. It drops nothing.
     """
     spark = fps.sparkSession
     variants = (len(masks(bits)) + 1 + bits) // 2
