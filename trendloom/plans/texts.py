@@ -139,6 +139,17 @@ def resolve_documents(spark, sf_dir):
     return R.resolve(docs, _aliases(spark, sf_dir)).select(F.col("id").alias("doc_id"), "entity_id")
 
 
+@query("resolve_all_lengths")
+def resolve_all_lengths(spark, sf_dir):
+    """RES01-03, JN31: a dictionary of one to six words, two lengths for each entity; the longest match, then the leftmost, of each text."""
+    t = T.normalized_words(F.col("text"))
+    n = lambda k: F.pmod(F.col("item_id") + k, F.lit(6)).cast("int") + 1
+    b = B.table(spark, sf_dir, "benchmark").select("item_id", t.alias("t"), F.explode(F.array(n(0), n(2))).alias("n")).where(F.size("t") >= F.col("n"))
+    a = b.select(F.array_join(F.expr("slice(t, 1, n)"), " ").alias("alias"), F.col("item_id").alias("entity_id"), F.lit("x").alias("name"), F.lit("y").alias("brand"))
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.resolve(docs, a).select("id", "entity_id", "alias", "n", "pos")
+
+
 @query("entity_item_counts", f"WITH {RESOLVED} SELECT entity_id, count(DISTINCT doc_id) AS items FROM m GROUP BY entity_id")
 def entity_item_counts(spark, sf_dir):
     """AG03, AG34: mention counter."""
