@@ -356,3 +356,15 @@ def test_embeddings_tiny_huge_and_many_lists(spark):
     found[r[k == home[r]]] = True
     assert linked.sum() > 300 and found[linked].mean() > 0.995
     assert embedding_dedup.wanted_lists(10**11) > 100_000 and embedding_dedup.wanted_sample(10**11) == embedding_dedup.TRAIN_VECTORS
+
+
+def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
+    random.seed(4)
+    text = (" ".join(random.choices("abcdefgh", k=900)) + "\n").encode()
+    raw = np.frombuffer(text, np.uint8)
+    keys = lambda f: {(int(f[0][r]), int(f[2][r] + k), int(f[5][e + k])) for r, e in enumerate(np.cumsum(f[4]) - f[4]) for k in range(f[4][r])}
+    whole = keys(line_dedup.ranges(raw, np.array([0, len(raw)]), 6))
+    for piece in (1, 7, 100, 5000):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)
+        assert keys(line_dedup.ranges_of_long(raw, 6)) == whole and len(whole) == 895
+    assert line_dedup.ranges_of_long(np.frombuffer(b"a b", np.uint8), 6) is None

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from trendloom.llm.common import drop, materialize, slices, text_buffer, without
 
 MIN_WORDS = 50
+#: Words of one text that are hashed at once; a longer text is taken in overlapping pieces, which cuts ranges but no window.
+PIECE = 1 << 18
 
 _BYTE, _WORD, _LONG = 0x100000001B3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -99,6 +101,18 @@ def ranges(raw: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray,
     return short[chosen[cut]], owner[s[cut]], s[cut] - lead[owner[s[cut]]], whole, many, key
 
 
+def ranges_of_long(raw: np.ndarray, min_words: int) -> tuple[np.ndarray, ...] | None:
+    """ranges() of one text of any length, piece by piece."""
+    begin, end = word_bounds(raw)
+    found = []
+    for a in range(0, max(1, len(begin) - min_words + 1), PIECE):
+        if len(begin) - a >= min_words:
+            b = min(len(begin), a + PIECE + min_words - 1)
+            prints, owner, first, *rest = ranges(raw[begin[a] : end[b - 1]], np.array([0, end[b - 1] - begin[a]]), min_words)
+            found.append((prints, owner, first + a, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else None
+
+
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     """docs(_row, _id, _text) -> one row for each range: _print, _row, _id, _at (its first window's word), _range and _keys."""
     id_type = docs.schema["_id"].dataType.simpleString()
@@ -108,7 +122,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             raw, at = text_buffer(batch.column(2))
             for i, j in slices(at, 1 << 20):
-                found = ranges(raw, at[i : j + 1], min_words)
+                found = ranges(raw, at[i : j + 1], min_words) if at[j] - at[i] <= 4 << 20 else ranges_of_long(raw[at[i] : at[j]], min_words)
                 if found is None:
                     continue
                 prints, owner, first, whole, many, keys = found
