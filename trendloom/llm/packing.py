@@ -25,6 +25,8 @@ from trendloom.llm.tokens import VOCABULARY, encoder
 CAPACITY = 2048
 #: Groups over which the pieces of one length are counted off, at least, and pieces of all lengths for each group.
 SALTS, PER_SALT = 256, 1 << 20
+#: Levels of the search whose sets of sums are kept.
+KEPT = 64
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -129,38 +131,51 @@ def dominated(chosen: list[int], left: dict[int, int], sizes: list[int], waste:
     return False
 
 
-def fillings(left: dict[int, int], capacity: int, most_waste: int) -> Iterator[tuple[int, list[int] | None]]:
+def _reach(sizes: list[int], left: dict[int, int], largest: int, room: int) -> list[int]:
+    """Bit sets of the sums up to `room` that the sizes below each place reach."""
+    reach = [1]
+    for s in sizes:
+        bits, n, step = reach[-1], min(left[s] - (s == largest), room // s), 1
+        while n > 0:  # n copies as powers of two and a rest
+            bits |= bits << (s * min(step, n))
+            n, step = n - min(step, n), step * 2
+        reach.append(bits & ((1 << (room + 1)) - 1))
+    return reach
+
+
+def fillings(left: dict[int, int], capacity: int, most_waste: int, memo: dict | None = None) -> Iterator[tuple[int, list[int] | None]]:
     """(waste, lengths) of the undominated fillings around the largest length, least waste first, then larger pieces first; None for a dominated one.
 
     Sums that the smaller pieces reach are bit sets, so the search for one waste enters hardly any branch without a filling.
+    memo keeps the sets of the KEPT levels used last; others are made again, so a deep search takes little memory.
     """
-    largest = max(left)
+    memo = {} if memo is None else memo
+    level, largest = object(), max(left)
     room = capacity - largest
     sizes = sorted(s for s in left if s <= room and (s < largest or left[s] > 1))
-    reach = [1]  # sums of the sizes below each place
-    for s in sizes:
-        bits, n = reach[-1], min(left[s] - (s == largest), room // s)
-        step = 1
-        while n > 0:  # n copies as powers of two and a rest
-            bits |= bits << (s * min(step, n))
-            n, step = n - min(step, n), step * 2
-        reach.append(bits & ((1 << (room + 1)) - 1))
+
+    def reach(k: int) -> int:
+        if level not in memo:
+            memo[level] = _reach(sizes, left, largest, room)
+            if len(memo) > KEPT:
+                del memo[next(iter(memo))]
+        return memo[level][k]
 
     def spelled(k: int, need: int) -> Iterator[list[int]]:
         if need == 0:
             yield []
             return
         for i in range(min(k, bisect_right(sizes, need)), 0, -1):
-            if not reach[i] >> need & 1:
+            if not reach(i) >> need & 1:
                 return
             s = sizes[i - 1]
             for times in range(min(left[s] - (s == largest), need // s), 0, -1):
-                if reach[i - 1] >> (need - times * s) & 1:
+                if reach(i - 1) >> (need - times * s) & 1:
                     for rest in spelled(i - 1, need - times * s):
                         yield [s] * times + rest
 
     for waste in range(min(most_waste, room) + 1):
-        if reach[-1] >> (room - waste) & 1:
+        if reach(len(sizes)) >> (room - waste) & 1:
             for rest in spelled(len(sizes), room - waste):
                 ruled_out = waste and dominated([largest, *rest], left, sizes, waste)
                 yield waste, None if ruled_out else [largest, *rest]
@@ -174,15 +189,17 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     better than the best one so far, best-fit decreasing at the start; fillings of one length are used in one order. The search stops at the lower
     bound of all, or after `nodes` fillings beyond a whole descent, dominated ones included, with the best packing so far: all pieces are packed either way.
     """
-    counts = {k: v for k, v in counts.items() if v > 0}
-    best = best_fit(counts, capacity)
-    total, bins, bound = sum(k * v for k, v in counts.items()), sum(t for _, t in best), lower_bound(counts, capacity)
+    left = {k: v for k, v in counts.items() if v > 0}
+    best = best_fit(left, capacity)
+    total, bins, bound = sum(k * v for k, v in left.items()), sum(t for _, t in best), lower_bound(left, capacity)
     if bins <= bound:
         return best
+    memo: dict = {}
 
-    def branches(left: dict[int, int], used: int, waste: int, after: tuple | None) -> Iterator[tuple]:
+    def branches(used: int, waste: int, after: tuple | None) -> Iterator[tuple]:
+        """Each branch with its pieces taken out of `left`; they are put back before the next one."""
         largest = max(left)
-        for loss, chosen in fillings(left, capacity, (bins - 1) * capacity - total - waste):
+        for loss, chosen in fillings(left, capacity, (bins - 1) * capacity - total - waste, memo):
             if chosen is None:
                 yield ()
                 continue
@@ -193,12 +210,17 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             for times in range(min(left[x] // n for x, n in need.items()), 0, -1):
                 if waste + loss * times > (bins - 1) * capacity - total:
                     continue
-                rest = {x: n - need.get(x, 0) * times for x, n in left.items() if n > need.get(x, 0) * times}
-                if used + times + lower_bound(rest, capacity) < bins:
-                    yield rest, chosen, times, used + times, waste + loss * times, (largest, key)
+                for x, n in need.items():
+                    left[x] -= n * times
+                    if not left[x]:
+                        del left[x]
+                if used + times + lower_bound(left, capacity) < bins:
+                    yield chosen, times, used + times, waste + loss * times, (largest, key)
+                for x, n in need.items():
+                    left[x] = left.get(x, 0) + n * times
 
     plan: list[tuple[list[int], int]] = []
-    stack = [branches(counts, 0, 0, None)]
+    stack = [branches(0, 0, None)]
     seen, most = 0, nodes + len(best)
     while stack and bins > bound and seen < most:
         step = next(stack[-1], None)
@@ -210,10 +232,10 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         seen += 1
         if step == ():
             continue
-        rest, chosen, times, used, waste, after = step
-        if rest:
+        chosen, times, used, waste, after = step
+        if left:
             plan.append((chosen, times))
-            stack.append(branches(rest, used, waste, after))
+            stack.append(branches(used, waste, after))
         elif used < bins:
             best, bins = [*plan, (chosen, times)], used
     return best
