@@ -287,9 +287,8 @@ def test_similar_documents_in_many_blocks(spark):
     random.shuffle(rows)
     want = _similar_brute(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block_bytes in (300, 3_000):
-        got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, block_bytes=block_bytes).collect()}
-        assert got == want
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, block_bytes=1_000).collect()}
+    assert got == want
 
 
 def test_linked_sets_against_brute_force():
