@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendloom.llm import embedding_dedup, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, tokens, toxicity
+from trendloom.llm import embedding_dedup, exact_dedup, hard_negatives, langid, line_dedup, merkle, mixing, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality": quality.query,
     "op10_toxicity": toxicity.query,
+    "op11_manifest": merkle.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op11_manifest": merkle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
