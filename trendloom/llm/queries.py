@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendloom.llm import embedding_dedup, exact_dedup, hard_negatives, langid, line_dedup, merkle, mixing, packing, quality, simhash, tokens, toxicity
+from trendloom.llm import embedding_dedup, exact_dedup, hard_negatives, html_extract, langid, line_dedup, merkle, mixing, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_toxicity": toxicity.query,
     "op11_manifest": merkle.query,
+    "op12_html_extract": html_extract.query,
     "op13_hard_negatives": hard_negatives.query,
 }
 
