@@ -160,11 +160,10 @@ def verified(docs: DataFrame, fields: list[str], group: str, order: str, present
     proof = build(leaves).proofs()
     beside = F.concat(siblings(F.col("_up"), F.col("_i")), siblings(F.col("_top"), F.col("_j")))
     inner = folded(F.coalesce("_shown", "leaf"), F.col("_up"), F.col("_i"))
-    told = proof.select(
-        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(own)],
-        "leaf", "subroot", "root", hash_of(beside).alias("proof_sha256"), folded(inner, F.col("_top"), F.col("_j")).alias("folded_root"),
-    )
-    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+    kept = [f"_c{k}" for k in range(len(own))]
+    told = proof.select(*kept, "leaf", "subroot", "root", hash_of(beside).alias("proof_sha256"), folded(inner, F.col("_top"), F.col("_j")).alias("folded_root"))
+    told = told.withColumn("verified", F.col("folded_root") == F.col("root"))
+    return told.select(*[F.col(c).alias(name) for c, name in zip(kept, own, strict=True)], *made)  # own names come last, so that none is taken for a helper
 
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
