@@ -145,19 +145,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(df((1, 0, 1)), "t").startswith("# t\n\n| k | day | v |")
 
 
-def test_stream_equals_batch(spark, tmp_path, sf_dir):
-    from trendloom.plans import base as B
-
-    hits = B.hits(spark, sf_dir).select("entity_id", "platform", "author", "views", "likes", "comments", "override", "ts")
-    src = str(tmp_path / "in")
-    hits.repartition(3).write.parquet(src)
-    stream = jobs.day_counts(jobs.events_stream(spark, src, hits.schema))
-    jobs.write_days(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("entity_id", "day", "mention_count", "engagement_sum")
-    want = O.daily_counts(B.hits(spark, sf_dir)).selectExpr("entity_id", "day", "mention_count", "engagement_sum")
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
-
-
 def test_stateful_streams(spark, tmp_path):
     src = str(tmp_path / "days")
     spark.createDataFrame([("e", DAY, 5.0, 1.0), ("e", DAY + dt.timedelta(days=1), 20.0, 3.0)], "entity_id string, day date, composite_score double, mention_count double").write.parquet(src)

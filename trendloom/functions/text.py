@@ -105,11 +105,12 @@ def strip_concentration(name: Column) -> Column:
 
 
 def base_name(name: Column) -> Column:
-    """All trailing suffixes stripped, but never to nothing."""
+    """All trailing suffixes stripped, but never to nothing: a suffix has something before it. Most names end in none, which their last letter tells."""
     terms = "|".join(x.replace(" ", r"\s+") for x in V.KEY_SUFFIXES)
+    ends = sorted({x[-1] for x in V.KEY_SUFFIXES})
     t = F.trim(name)
-    cut = F.trim(F.regexp_replace(t, rf"(?i)(?:\s+(?:{terms}))+\s*$", ""))
-    return F.when(cut == "", t).otherwise(cut)
+    cut = F.trim(F.regexp_replace(t, rf"(?i)(?<=\S)(?:\s+(?:{terms}))+\s*$", ""))
+    return F.when(F.lower(F.right(t, F.lit(1))).isin(*ends, *"\t\n\r\f\v"), cut).otherwise(t)
 
 
 def compact(text: Column) -> Column:

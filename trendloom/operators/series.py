@@ -20,11 +20,16 @@ def entity_hits(content: DataFrame, resolved: DataFrame) -> DataFrame:
 
     resolved has one row for each item, so variants are merged inside its array, without a shuffle.
     """
+    return content.join(hits_of(resolved), "content_item_id")
+
+
+def hits_of(items: DataFrame) -> DataFrame:
+    """The rows of items that carry their entities, once for each base entity: no join."""
+    others = [c for c in items.columns if c != "entities"]
     named = F.transform("entities", lambda e: F.struct(base_name(e["name"]).alias("entity_id"), e["confidence"].alias("confidence")))
-    rows = resolved.select("content_item_id", named.alias("e")).withColumn("k", F.col("e.entity_id"))
+    rows = items.select(*others, named.alias("e")).withColumn("k", F.col("e.entity_id"))
     first = F.filter("e", lambda x, i: F.array_position("k", x["entity_id"]) == i + 1)
-    each = rows.select("content_item_id", F.explode(first).alias("e")).select("content_item_id", "e.*")
-    return content.join(each, "content_item_id")
+    return rows.select(*others, F.explode(first).alias("e")).select(*others, "e.*")
 
 
 def daily_counts(hits: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -74,8 +79,13 @@ def signals(series: DataFrame, key: str = "entity_id", score: float = 15, grown:
     Growth from a score of zero is infinite and stored as 9999.9.
     """
     w = Window.partitionBy(key).orderBy("day")
-    s, m = F.col("composite_score"), F.col("mention_count")
     rows = series.withColumn("_p", F.lag("composite_score").over(w)).withColumn("_any", F.lag(F.lit(True)).over(w))
+    return signal_events(rows, key, score, grown, spike, drop)
+
+
+def signal_events(rows: DataFrame, key: str = "entity_id", score: float = 15, grown: float = 0.35, spike: float = 1.5, drop: float = 0.40) -> DataFrame:
+    """signals() of rows that carry the score of their previous row, _p, and _any, null where there is none."""
+    s, m = F.col("composite_score"), F.col("mention_count")
     p = F.coalesce("_p", F.lit(0.0))
     pct = F.when(p > 0, (s - p) / F.when(p > 0, p)).otherwise(F.lit(9999.9))
     event = lambda cond, kind, value: F.when(cond, F.struct(F.lit(kind).alias("signal_type"), F.round(value, 4).alias("detail")))

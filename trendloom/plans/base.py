@@ -6,23 +6,33 @@ lineitem baskets -> the note bridge, documents and conversations -> texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import scores as S
 from trendloom.operators import series as O
+from trendloom.sources.store import Store
+from trendloom.streaming import daystore as D
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(e: DataFrame) -> DataFrame:
+    """events with _k, the number in their props, so that the text is parsed once."""
+    return e.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_of(table(spark, sf_dir, "events"))
 
 
-def content_of(e: DataFrame) -> DataFrame:
+def content_of(e: DataFrame, *more: Column) -> DataFrame:
     """Events as content items; errors carry an override weight of zero."""
+    e = keyed(e)
     platform = (
         F.when(F.col("event_type") == "click", "youtube").when(F.col("event_type") == "view", "tiktok")
         .when(F.col("event_type") == "signup", "reddit").otherwise("other")
@@ -33,22 +43,36 @@ def content_of(e: DataFrame) -> DataFrame:
         F.col("user_id").cast("string").alias("author"),
         F.to_date("ts").alias("day"),
         F.round(F.col("value") * 100).cast("long").alias("views"),
-        F.get_json_object("props", "$.k").cast("long").alias("likes"),
+        F.col("_k").cast("long").alias("likes"),
         F.pmod("user_id", F.lit(7)).cast("long").alias("comments"),
         F.when(F.col("event_type") == "error", F.lit(0.0)).alias("override"),
         F.col("ts"),
+        *more,
     )
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved_of(table(spark, sf_dir, "events"))
+
+
+def items_of(e: DataFrame) -> DataFrame:
+    """Content items that carry their entities: both are read from the same event."""
+    return content_of(e, entities_of().alias("entities"))
+
+
+def resolved_of(e: DataFrame) -> DataFrame:
+    return keyed(e).select(F.col("event_id").alias("content_item_id"), entities_of().alias("entities"))
+
+
+def entities_of() -> Column:
     """Two variants of one name and, for some items, a second entity."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("_k")
     name = lambda n: F.concat(F.lit("Perfume "), n.cast("string"))
     conf = ((F.pmod(k, F.lit(5)) + 5) / 10).cast("decimal(10,4)")
     entity = lambda n, c: F.struct(n.alias("name"), c.alias("confidence"))
     pair = F.array(entity(F.concat(name(k), F.lit(" Eau de Parfum")), conf), entity(name(k), F.lit(1).cast("decimal(10,4)")))
     extra = F.when(F.pmod("event_id", F.lit(3)) == 0, F.array(entity(name(F.pmod(k + 1, F.lit(100))), conf))).otherwise(F.slice(pair, 1, 0))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("content_item_id"), F.concat(pair, extra).alias("entities"))
+    return F.concat(pair, extra)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +83,43 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.daily_series(content(spark, sf_dir), resolved(spark, sf_dir))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one with a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return base.rstrip("/")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What a stored result of these files is valid for: their place, number, bytes and latest change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    of, whole = fs.getFileStatus(p), fs.getContentSummary(p)
+    return hashlib.sha256(f"{path} {whole.getFileCount()} {whole.getLength()} {of.getModificationTime()}".encode()).hexdigest()[:24]
+
+
+ITEMS = "content_item_id long, platform string, author string, day date, views long, likes long, comments long, override double, ts timestamp_ntz, entities array<struct<name: string, confidence: decimal(10,4)>>"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> D.SeriesStore:
+    """The series of the events as a table by day: the session's first reader builds it, the others read the days that they ask for."""
+    path = f"{shared_folder(spark)}/trendloom-series/{spark.sparkContext.applicationId}-{fingerprint(spark, f'{sf_dir}/events.parquet')}"
+    out = D.SeriesStore(Store(spark, path), ITEMS, ["content_item_id"], "ts")
+    out.build(O.daily_counts(O.hits_of(items_of(table(spark, sf_dir, "events")))))
+    return out
+
+
+def last_active(store: D.SeriesStore) -> str | None:
+    """The last stored day with mentions: days are asked from the last one back, one partition each."""
+    for day in reversed(store.days()):
+        if store.series([day]).where("mention_count > 0").limit(1).count():
+            return day
+    return None
+
+
 def last_day(spark: SparkSession, sf_dir: str, active: bool = False) -> DataFrame:
     """One row: the last day (_last) of the series, with mentions if `active`. It is that of the hits, so no series is built for it."""
     h = hits(spark, sf_dir)

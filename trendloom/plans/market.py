@@ -84,7 +84,9 @@ WHERE s.day IS NULL AND a.day <= (SELECT max(day) FROM series)
 """))
 def carry_forward(spark, sf_dir):
     """SIG07, JN11, STM07: zero rows for quiet entities."""
-    return O.carry_forward(B.series(spark, sf_dir), last=B.last_day(spark, sf_dir)).select("entity_id", "day", "mention_count", "growth_rate", "composite_score")
+    store = B.stored(spark, sf_dir)
+    last = spark.createDataFrame([(max(store.days(), default=None),)], "d string").select(F.col("d").cast("date").alias("_last"))
+    return O.carry_forward(store.series().select("entity_id", "day", "mention_count"), last=last).select("entity_id", "day", "mention_count", "growth_rate", "composite_score")
 
 
 @query("brand_rollup", B.sql("""
@@ -101,7 +103,7 @@ FROM r WHERE m > 0
 """))
 def brand_rollup(spark, sf_dir):
     """AG02."""
-    out = O.brand_rollup(B.series(spark, sf_dir), B.brands(spark, sf_dir))
+    out = O.brand_rollup(B.stored(spark, sf_dir).series(), B.brands(spark, sf_dir))
     return out.select("brand", "day", "mention_count", "engagement_sum", "unique_authors", "composite_score", "growth_rate")
 
 
@@ -123,14 +125,14 @@ def weighted_signal_score(spark, sf_dir):
 @query("latest_snapshot", B.sql("SELECT b.entity_id, b.brand, l.day, l.composite_score, l.trend_state FROM brands b LEFT JOIN (SELECT DISTINCT ON (entity_id) * FROM series WHERE mention_count > 0 ORDER BY entity_id, day DESC) l USING (entity_id)"))
 def latest_snapshot(spark, sf_dir):
     """JN04, WN02, FLT02: entities with their last active row."""
-    last = O.latest(B.series(spark, sf_dir))
+    last = O.latest(B.stored(spark, sf_dir).series().select("entity_id", "day", "mention_count", "composite_score", "trend_state"))
     return B.brands(spark, sf_dir).join(last, "entity_id", "left").select("entity_id", "brand", "day", "composite_score", "trend_state")
 
 
 @query("single_day_rows", B.sql("SELECT b.entity_id, s.composite_score, s.mention_count FROM brands b LEFT JOIN (SELECT * FROM series WHERE day = DATE '2024-01-15' AND mention_count > 0) s USING (entity_id)"))
 def single_day_rows(spark, sf_dir):
-    """JN05: left join on an exact date."""
-    day = B.series(spark, sf_dir).where((F.col("day") == F.lit("2024-01-15").cast("date")) & (F.col("mention_count") > 0))
+    """JN05: left join on an exact date, of which only its partition is read."""
+    day = B.stored(spark, sf_dir).series(["2024-01-15"]).where("mention_count > 0")
     return B.brands(spark, sf_dir).join(day, "entity_id", "left").select("entity_id", "composite_score", "mention_count")
 
 
@@ -140,8 +142,8 @@ SELECT entity_id, CAST(sum(CAST(mention_count AS DECIMAL(18,4))) AS DOUBLE) AS m
 FROM series WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY entity_id HAVING sum(mention_count) > 0
 """))
 def range_rows(spark, sf_dir):
-    """JN06, AG06, SUP03: range aggregate and latest metrics in one pass."""
-    out = O.range_rows(B.series(spark, sf_dir), F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"))
+    """JN06, AG06, SUP03: range aggregate and latest metrics in one pass over the range's partitions."""
+    out = O.range_rows(B.stored(spark, sf_dir).between("2024-01-10", "2024-01-20"), F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"))
     return out.drop("avg_score").withColumn("latest_state", F.coalesce("latest_state", F.lit("-")))
 
 
@@ -153,10 +155,10 @@ SELECT count(*) AS tracked, count(*) FILTER (WHERE composite_score >= 15) AS bre
 FROM d LEFT JOIN brands b USING (entity_id)
 """))
 def dashboard_kpis(spark, sf_dir):
-    """AG07, AG08, JN24, API01: conditional counts on the latest active date."""
-    active = B.series(spark, sf_dir).where("mention_count > 0")
-    last = B.last_day(spark, sf_dir, active=True)
-    d = active.join(F.broadcast(last), F.col("day") == F.col("_last")).join(B.brands(spark, sf_dir), "entity_id", "left")
+    """AG07, AG08, JN24, API01: conditional counts on the latest active date, the only partition that is read."""
+    store = B.stored(spark, sf_dir)
+    last = B.last_active(store)
+    d = store.series([last] if last else []).where("mention_count > 0").join(B.brands(spark, sf_dir), "entity_id", "left")
     return d.agg(
         F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("composite_score") >= 15).alias("breakouts"), F.count_if(F.col("trend_state") == "rising").alias("rising"),
         F.countDistinct("brand").alias("brands"), F.round(F.sum(F.col("composite_score").cast("decimal(18,4)")) / F.count(F.lit(1)), 3).cast("double").alias("avg_score"),
@@ -183,7 +185,7 @@ COLLAPSED_COLUMNS = "grp, primary_name, mention_count, engagement_sum, unique_au
 
 
 def _collapsed(spark, sf_dir):
-    last = O.latest(B.series(spark, sf_dir)).join(B.brands(spark, sf_dir).select("entity_id", F.col("name").alias("grp")), "entity_id")
+    last = O.latest(B.stored(spark, sf_dir).series().drop("p1", "p2")).join(B.brands(spark, sf_dir).select("entity_id", F.col("name").alias("grp")), "entity_id")
     return O.collapse_variants(last, "grp", "entity_id")
 
 

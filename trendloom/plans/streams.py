@@ -15,57 +15,65 @@ from trendloom.plans.market import SIGNALS
 from trendloom.plans.registry import query
 from trendloom.sources import readers as R
 from trendloom.sources import sinks as W
-from trendloom.streaming import jobs as J
+from trendloom.sources.store import Store
+from trendloom.streaming import daystore as D
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local one with a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/trendloom-streams/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{B.shared_folder(spark)}/trendloom-streams/{name}-{uuid.uuid4().hex}"
 
 
-def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of its files."""
-    schema = B.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+def arrivals(spark: SparkSession, sf_dir: str, name: str, key: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of files in shuffled order, one a micro-batch: every batch holds late rows of all days, and a fifth of the rows comes twice."""
+    path = scratch(spark, f"{name}-arrivals")
+    h = F.pmod(F.xxhash64(key), F.lit(5 * batches))
+    first = F.pmod(h, F.lit(batches))
+    again = F.when(h < batches, F.array(first, F.pmod(first + 1, F.lit(batches)))).otherwise(F.array(first))
+    rows = B.table(spark, sf_dir, name)
+    rows.withColumn("_arrival", F.explode(again)).repartition(batches, "_arrival").write.partitionBy("_arrival").parquet(path)
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def finished(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """The stream run over all that is there, its batches written to path and read back."""
-    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
-    sink.format("parquet").option("path", path).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
-@query("stream_day_counts", B.sql("SELECT entity_id, day, CAST(sum(w) AS DOUBLE) AS mention_count, CAST(sum(engagement) AS BIGINT) AS engagement_sum FROM weighed GROUP BY 1, 2", B.HITS))
+@query("stream_day_counts", B.sql("SELECT entity_id, day, mention_count, unique_authors, engagement_sum, platforms FROM counts"))
 def stream_day_counts(spark, sf_dir):
-    """STM01, STM02, STM04: watermarked one-day windows, run over what has landed; every batch overwrites its days."""
-    e = streamed(spark, sf_dir, "events")
-    items = B.content_of(e)
-    hits = O.entity_hits(items, B.resolved(spark, sf_dir))
+    """STM01, STM02, STM04: one-day windows over items that come late, shuffled and twice; every batch merges into the stored days."""
     path = scratch(spark, "days")
-    J.write_days(J.day_counts(hits), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path).select("entity_id", "day", "mention_count", "engagement_sum")
+    store = D.DayStore(Store(spark, path), B.ITEMS, ["content_item_id"], "ts")
+    D.in_batches(arrivals(spark, sf_dir, "events", "event_id"), lambda rows, name: store.merge(B.items_of(rows), name), f"{path}-checkpoint", "events")
+    return O.daily_counts(O.hits_of(store.read())).drop("confidence_avg")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    """STM05: one mention of each natural key."""
-    e = streamed(spark, sf_dir, "events").select("user_id", "event_type", "ts")
-    return finished(J.deduplicated(e, ["user_id", "event_type"]).select("user_id", "event_type"), scratch(spark, "dedup"))
+    """STM05: one mention of each natural key over all runs, however late a repeat comes."""
+    path = scratch(spark, "dedup")
+    seen = D.SeenKeys(Store(spark, path), "user_id long, event_type string", ["user_id", "event_type"])
+    D.in_batches(arrivals(spark, sf_dir, "events", "event_id"), lambda rows, name: seen.merge(rows, name, "ts"), f"{path}-checkpoint", "events")
+    return seen.rows()
+
+
+def merged_series(spark, sf_dir) -> D.SeriesStore:
+    """The series kept up to date over shuffled batches."""
+    path = scratch(spark, "series")
+    store = D.SeriesStore(Store(spark, path), B.ITEMS, ["content_item_id"], "ts")
+    D.in_batches(arrivals(spark, sf_dir, "events", "event_id"), lambda rows, name: store.merge(B.items_of(rows), name), f"{path}-checkpoint", "events")
+    return store
 
 
 @query("stream_signals", B.sql(SIGNALS + "SELECT entity_id, day, signal_type, strength FROM sig WHERE signal_type IN ('new_entry', 'breakout')"))
 def stream_signals(spark, sf_dir):
-    """STM06: days against the last state of each entity."""
-    path = scratch(spark, "series")
-    B.series(spark, sf_dir).select("entity_id", "day", "composite_score", "mention_count").write.parquet(path)
-    days = spark.readStream.schema("entity_id string, day date, composite_score double, mention_count double").parquet(path)
-    return finished(J.previous_row_signals(days), scratch(spark, "signals"))
+    """STM06: days against the previous state of each entity, put right when a late day changes it."""
+    found = D.stored_signals(merged_series(spark, sf_dir).series())
+    return found.where(F.col("signal_type").isin("new_entry", "breakout")).select("entity_id", "day", "signal_type", "strength")
+
+
+@query("signal_corrections", B.sql(SIGNALS + "SELECT entity_id, day, strength, signal_type, detail FROM sig"))
+def signal_corrections(spark, sf_dir):
+    """STM04, STM06: what the log of corrections comes to: signals that late days have added and not taken back."""
+    log = merged_series(spark, sf_dir).corrections()
+    net = log.groupBy("entity_id", "day", "strength", "signal_type", "detail").agg(F.sum("change").alias("n"))
+    return net.where("n > 0").drop("n")
 
 
 @query("landed_raw", "SELECT event_id, event_type AS source, CAST(day(ts) AS INTEGER) AS run_id, props AS payload FROM events")

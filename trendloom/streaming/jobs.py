@@ -96,14 +96,6 @@ def cooled_alerts(fired: DataFrame, key: str = "alert_id", time: str = "ts", hou
     return fired.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, {time} timestamp, event string", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def write_days(stream: DataFrame, path: str, checkpoint: str, day: str = "day"):
-    """Each micro-batch overwrites the day partitions it holds, so replays leave the same files."""
-    def put(batch: DataFrame, _: int) -> None:
-        batch.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-
-    return stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def expire(experiments: DataFrame, now) -> DataFrame:
     """Life cycle of experiments(status, starts, ends): active once begun, expired once over."""
     status = F.when(F.col("status").isin("confirmed", "suppressed"), F.col("status")).when(F.col("ends") < now, "expired").when(F.col("starts") <= now, "active").otherwise("pending")
