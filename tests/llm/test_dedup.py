@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from trendloom.llm import embedding_dedup, exact_dedup, line_dedup, simhash
@@ -343,7 +344,7 @@ def test_embeddings_tiny_huge_and_many_lists(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     old, embedding_dedup.FLAT = embedding_dedup.FLAT, 20  # two levels
     try:
-        index = embedding_dedup.fit(x, 30_000, 0.93, 4.0)
+        index = embedding_dedup.fit(x, 30_000, 0.93)
     finally:
         embedding_dedup.FLAT = old
     assert len(index.tops) > 1 and index.first[-1] == len(index.centroids)
@@ -354,7 +355,8 @@ def test_embeddings_tiny_huge_and_many_lists(spark):
     found = np.zeros(len(x), bool)
     found[r[k == home[r]]] = True
     assert linked.sum() > 300 and found[linked].mean() > 0.995
-    assert embedding_dedup.wanted_lists(10**11) > 100_000 and embedding_dedup.wanted_sample(10**11) == embedding_dedup.TRAIN_VECTORS
+    assert embedding_dedup.wanted_lists(10**11) > 100_000 and embedding_dedup.wanted_sample(10**11, 16) == embedding_dedup.TRAIN_VECTORS
+    assert embedding_dedup.wanted_sample(10**11, 1536) * 1536 * 8 <= embedding_dedup.TRAIN_BYTES
 
 
 def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
@@ -367,3 +369,33 @@ def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
         monkeypatch.setattr(line_dedup, "PIECE", piece)
         assert keys(line_dedup.ranges_of_long(raw, 6)) == whole and len(whole) == 895
     assert line_dedup.ranges_of_long(np.frombuffer(b"a b", np.uint8), 6) is None
+
+
+@pytest.mark.parametrize("inner,dim", [(2, 64), (3, 256), (8, 64), (8, 384), (16, 128)])
+def test_no_link_is_lost_on_vectors_of_low_inner_dimension(inner, dim):
+    rng = np.random.default_rng(inner * dim)
+    x = (np.repeat(rng.normal(size=(300, inner)), 10, axis=0) + 0.3 * rng.normal(size=(3_000, inner))) @ rng.normal(size=(inner, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert _recall(x) >= 0.999
+
+
+def test_no_link_is_lost_between_clusters_of_other_directions():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=128) + rng.normal(size=(150, 3)) @ rng.normal(size=(3, 128)) for _ in range(20)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert _recall(x) >= 0.999
+
+
+def _recall(x):
+    """The share of the links between lists whose other list is probed from the side that asks."""
+    from trendloom.llm import embedding_dedup as E
+
+    index = E.fit(x[:: 2], 3_000, E.THRESHOLD)
+    p = E._padded(x)
+    lists = E.place(index, p)
+    rows, probed = E.probes(index, p)
+    asked = np.zeros((len(x), int(index.first[-1])), bool)
+    asked[rows, probed] = E.asks(lists[rows], probed)
+    a, b = np.nonzero(np.triu(x @ x.T >= E.THRESHOLD, 1))
+    assert len(a) > 100
+    return (asked[a, lists[b]] | asked[b, lists[a]]).mean()

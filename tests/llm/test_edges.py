@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.llm import exact_dedup, langid, mixing, quality, tokens, toxicity
-from trendloom.llm.common import bounded_sample, sample_threshold, without
+from trendloom.llm.common import bounded_sample, sample_threshold, training_rows, without
 
 
 def test_sample_threshold_at_any_size():
@@ -29,11 +30,77 @@ def test_bounded_sample(spark):
     hot = spark.range(5_000).select(F.lit(3).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
     assert bounded_sample(hot, "doc_id", 5_000, 100).count() in (0, 100)  # one id is all in or all out, and bounded
     assert bounded_sample(hot, "doc_id", 100, 100).count() == 100
-    few = bounded_sample(rows, "doc_id", 20_000, 500, F.length("text"), 105).collect()
-    assert len(few) == 10 and bounded_sample(rows, "doc_id", 20_000, 500, F.length("text"), 3).count() == 1
+    few = bounded_sample(rows, "doc_id", 20_000, 500, F.length("text"), 645).collect()
+    assert len(few) == 64 and bounded_sample(rows, "doc_id", 20_000, 500, F.length("text"), 600).count() == 0  # no row may fill the sample
     assert without(["A", "b", "Text"], "text", "a") == ["b"]
 
 
+def test_huge_texts_do_not_end_a_sample(spark):
+    limit = 64_000
+    size = F.octet_length("text")
+    h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    first = [r.doc_id for r in spark.range(1_000).select(F.col("id").alias("doc_id")).orderBy(h).limit(700).collect()]
+    docs = spark.range(1_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == first[0], F.repeat(F.lit("x"), 70_000)).otherwise(F.repeat(F.lit("y"), 20)).alias("text")).cache()
+    assert bounded_sample(docs, "doc_id", 1_000, 500, size, limit).count() >= 499
+    labels = docs.select("doc_id", F.lit(1).alias("y"))
+    got = training_rows(docs, labels, "y", F.lit(True), "text", "doc_id", 500, limit)
+    assert got.count() >= 499 and got.agg(F.max(size)).first()[0] == 20  # the huge text never reaches the driver
+    many = docs.withColumn("text", F.when(F.col("doc_id").isin(first), F.repeat(F.lit("x"), 2_000)).otherwise(F.col("text")))
+    got = training_rows(many, labels, "y", F.lit(True), "text", "doc_id", 200, limit)
+    assert got.count() == 200 and got.agg(F.max(size)).first()[0] == 20  # a wider draw makes up for what is left out
+    assert training_rows(docs.where(f"doc_id = {first[0]}"), labels, "y", F.lit(True), "text", "doc_id", 500, limit).count() == 0
+
+
+def test_quality_does_not_depend_on_neighbours():
+    model = quality.fit(["aa bb cc. dd", "11 22 33", "a", "ab", "zz 9"] * 4, np.array([1, 0, 1, 1, 0] * 4))
+    other = "Some other text of many words, and more."
+    for text in ["", "a", "1", "ab", "a ", " b", "a b", "abc", "a\nb", "é", "abcd", "a bc", "11 2"]:
+        alone, scores = None, []
+        for block in ([text], [text, other], [other, text], [other, text, other], [text, text], ["", text, "x"]):
+            raw = [t.encode() for t in block]
+            at = np.cumsum([0, *map(len, raw)])
+            found = quality.raw_features(np.frombuffer(b"".join(raw), np.uint8), at)
+            k = block.index(text)
+            alone = found[k] if alone is None else alone
+            assert (found[k] == alone).all(), (text, block)
+            scores.append(found[k])
+    assert model is not None
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 7.0, 399.0, 401.0, 5e4, 1e7])
+def test_counts_of_any_rate(spark, rate):
+    steps = spark.createDataFrame([("s", 1, rate)], "_source string, _size long, _rate double")
+    got = mixing.with_distribution(steps).crossJoin(spark.createDataFrame([(u,) for u in (0.0, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.999999)], "_u double")).select("_u", F.expr(mixing._COUNT).alias("n")).collect()
+    if rate == 0:
+        assert all(r.n == 0 for r in got)
+    for r in got if rate else []:
+        spread = max(1.0, rate**0.5)
+        if rate < 1_000:  # the definition itself, in decimal arithmetic
+            p, c, n = math.exp(-rate) if rate < 700 else 0.0, 0.0, 0
+            while c + p <= r._u:
+                c, n = c + p, n + 1
+                p *= rate / n
+            assert abs(r.n - n) <= (0 if 1e-6 < r._u < 0.99999 else 1)
+        elif r._u == 0:
+            assert r.n == 0
+        else:  # the normal quantile with its first correction
+            z = statistics.NormalDist().inv_cdf(min(max(r._u, 1e-12), 1 - 1e-12))
+            assert abs(r.n - (rate + z * spread + (z * z - 1) / 6)) < 2 + 0.01 * spread
+
+
+def test_copies_of_one_document_are_dealt_out(spark):
+    docs = spark.createDataFrame([(1, "", "rare"), *[(k, "word " * 200, "big") for k in range(2, 40)]], "doc_id long, text string, source string").repartition(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    mixed = mixing.mix(docs, shuffled=False)
+    per = {r.doc_id: r for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect()}
+    assert per[1].n == per[1].d == per[1].m > 3 * mixing.BLOCK
+    tasks = mixed.where("doc_id = 1").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < per[1].n
+    with pytest.raises(ValueError):
+        mixing.mix(docs, epochs=1e8)
+
+
 def test_columns_that_clash_in_any_case(spark):
     docs = spark.createDataFrame([(1, "some words of text", 1, 2, 3, 4, 5)], "doc_id long, text string, Score int, PREDICTED int, Lang_Pred int, N_Tokens int, Keep_Id int")
     q = quality.fit(["aa bb cc", "11 22 33"], np.array([1, 0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -210,25 +210,46 @@ def likely(key: str, n: int, most: int) -> Column:
     return F.xxhash64(F.lit("sample"), F.col(f"`{key}`")).bitwiseAND(F.lit(2**63 - 1)) <= F.lit(sample_threshold(n, most))
 
 
+#: A sample takes no row of more than this share of its bytes, so that no single row can fill it.
+LARGEST_SHARE = 64
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int, most: int, size: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """At most `most` of the n rows, of at most most_bytes together, in the order of a hash of the key, then of all columns.
 
-    size is the bytes of a row; a first row beyond most_bytes stays alone. Only a few more rows than `most` leave
-    the scan, unless many rows share one key: the limit holds for them too.
+    size is the bytes of a row; rows of more than most_bytes / LARGEST_SHARE are left out before anything is counted, so at least
+    LARGEST_SHARE others fit. Only a few more rows than `most` leave the scan, unless many rows share one key: the limit
+    holds for them too.
     """
     order = [F.xxhash64(F.lit("sample"), F.col(f"`{key}`")), *[F.col(f"`{c}`") for c in rows.columns]]
-    few = (rows.where(likely(key, n, most)) if n > most else rows).orderBy(*order).limit(most)
+    some = rows.where(likely(key, n, most)) if n > most else rows
     if size is None:
-        return few
+        return some.orderBy(*order).limit(most)
+    few = some.where(size <= most_bytes // LARGEST_SHARE).orderBy(*order).limit(most)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over `most` rows, whatever the input
-    summed = few.withColumn("_bytes", F.sum(size).over(w)).withColumn("_nth", F.count(F.lit(1)).over(w))
-    return summed.where((F.col("_bytes") <= most_bytes) | (F.col("_nth") == 1)).drop("_bytes", "_nth")
+    return few.withColumn("_bytes", F.sum(size).over(w)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+
+
+def drawn_sample(rows: Callable[[Column], DataFrame], key: str, n: int, most: int, size: Column, most_bytes: int) -> DataFrame:
+    """bounded_sample() of rows(condition on the key), n in all, written to a table.
+
+    Where so many rows are too large for a sample that less than half of it is filled, a wider draw is made, up to all rows.
+    """
+    draw = most
+    while True:
+        some = likely(key, n, draw) if n > draw else F.lit(True)
+        sample = materialize(bounded_sample(rows(some), key, most, most, size, most_bytes), "sample")
+        if draw >= n:
+            return sample
+        got = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+        if got["n"] >= most // 2 or (got["b"] or 0) >= most_bytes // 2:
+            return sample
+        drop(sample)
+        draw *= 8
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text: str, doc_id: str, most: int, most_bytes: int) -> DataFrame:
     """(doc_id, text, _y): a bounded sample of the labelled rows that satisfy `learn`, a condition on the id."""
     rows = labels.where(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, F.col(label).alias("_y")).distinct()
-    n = rows.count()
-    some = likely(doc_id, n, most) if n > most else F.lit(True)
-    joined = docs.select(doc_id, text).where(some).join(rows.where(some), doc_id)
-    return bounded_sample(joined, doc_id, n, most, F.octet_length(F.coalesce(text, F.lit(""))), most_bytes)
+    joined = lambda some: docs.select(doc_id, text).where(some).join(rows.where(some), doc_id)
+    return drawn_sample(joined, doc_id, rows.count(), most, F.octet_length(F.coalesce(text, F.lit(""))), most_bytes)

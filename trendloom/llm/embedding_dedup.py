@@ -4,8 +4,9 @@ A coarse quantiser (inverted lists) and residual subspace codebooks are
 fitted on a bounded sample of unit vectors; every vector is indexed, with its list,
 its codes and the exact length of its quantisation error. A query probes
 every list that lies within a margin of its own cell, measured across the bisecting plane of the two
-centroids: a vector within the link radius moves its query across that plane by
-more than `sigmas` standard deviations of a random direction only with negligible chance. Of two lists
+centroids. A linked vector in that list lies beyond the plane, at most the link radius away, so a margin of
+the radius loses nothing, whatever the vectors' inner dimension. A smaller one is taken only where the sample holds many
+links between lists, and then half as much again as the widest of them needs. Of two lists
 one asks the other, so each pair is searched from one side. In
 a probed list, asymmetric distances come from lookup tables; a member is a candidate unless its
 distance minus its quantisation error exceeds the radius, which loses
@@ -33,10 +34,13 @@ from trendloom.llm.common import again, bounded_sample, components, connected, m
 THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on, at most.
 TRAIN_VECTORS = 400_000
+#: Bytes of those vectors as doubles; the centroids, an eighth of them at most, are what is broadcast.
+TRAIN_BYTES = 192 << 20
 SUBSPACES = 8
 #: Lists up to which the coarse quantiser has one level.
 FLAT = 1_024
-SIGMAS = 4.0
+#: Links between lists that the sample must hold for a margin below the radius, what is put on top of the widest, vectors that ask for them.
+LEAST_LINKS, SPARE, ASKING = 2_000, 1.5, 2_048
 MEMBERS, QUERIES = 2_048, 8_192
 
 
@@ -74,14 +78,31 @@ def wanted_lists(n: int) -> int:
     return int(max(4, n**0.5 / 2))
 
 
-def wanted_sample(n: int) -> int:
-    """Vectors to fit on: eight for each list, 20,000 at least and TRAIN_VECTORS at most."""
-    return int(min(TRAIN_VECTORS, max(20_000, 8 * wanted_lists(n))))
+def wanted_sample(n: int, dim: int) -> int:
+    """Vectors to fit on: eight for each list, 20,000 at least, TRAIN_VECTORS and TRAIN_BYTES at most."""
+    return int(min(TRAIN_VECTORS, max(1, TRAIN_BYTES // (8 * dim)), max(20_000, 8 * wanted_lists(n))))
 
 
-def fit(sample: np.ndarray, n: int, threshold: float, sigmas: float) -> Index:
+def measured_margin(index: Index, x: np.ndarray, threshold: float) -> float:
+    """The margin that the sample's own links between lists ask for, the radius where there are too few of them."""
+    radius = (2 - 2 * threshold) ** 0.5
+    lists = place(index, x)
+    asking = np.linspace(0, len(x) - 1, min(ASKING, len(x))).astype(int)
+    widest, links = 0.0, 0
+    for i in range(0, len(asking), 256):
+        q = asking[i : i + 256]
+        a, b = np.nonzero((x[q] @ x.T >= threshold) & (lists[q][:, None] != lists[None, :]))
+        links += len(a)
+        if len(a):
+            own, other = index.centroids[lists[q[a]]], index.centroids[lists[b]]
+            apart = np.maximum(np.linalg.norm(own - other, axis=1), 1e-9)
+            over = (((x[q[a]] - other) ** 2).sum(axis=1) - ((x[q[a]] - own) ** 2).sum(axis=1)) / (2 * apart)
+            widest = max(widest, float(over.max()))
+    return min(radius, SPARE * widest) if links >= LEAST_LINKS else radius
+
+
+def fit(sample: np.ndarray, n: int, threshold: float) -> Index:
     """Quantisers from unit vectors; beyond FLAT lists the coarse one has two levels, cells and lists inside each cell."""
-    dim = sample.shape[1]
     x = _padded(sample)
     lists = min(wanted_lists(n), max(1, len(x) // 8))
     cells = 1 if lists <= FLAT else int(lists**0.5)
@@ -92,7 +113,8 @@ def fit(sample: np.ndarray, n: int, threshold: float, sigmas: float) -> Index:
         own = x[of == c]
         leaves.append(_kmeans(own, min(max(1, -(-lists // cells)), len(own))) if len(own) else tops[c : c + 1])
         first.append(first[-1] + len(leaves[-1]))
-    index = Index(tops, np.concatenate(leaves), np.array(first), np.zeros((SUBSPACES, 256, x.shape[1] // SUBSPACES)), sigmas * (2 - 2 * threshold) ** 0.5 / dim**0.5)
+    index = Index(tops, np.concatenate(leaves), np.array(first), np.zeros((SUBSPACES, 256, x.shape[1] // SUBSPACES)), 0.0)
+    index.margin = measured_margin(index, x, threshold) + 1e-9
     rest = x - index.centroids[place(index, x)]
     parts = np.split(rest, SUBSPACES, axis=1)
     index.books = np.stack([np.resize(_kmeans(p, min(256, len(p))), (256, p.shape[1])) for p in parts])
@@ -239,7 +261,7 @@ def _tile(index, dim: int, threshold: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> DataFrame:
+def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each input row.
 
     Vectors of different labels or lengths are not compared. A null label, id
@@ -256,7 +278,7 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     sizes = sorted(r[0] for r in classes.select(F.size("_v")).distinct().collect())  # the lengths that occur, a few
     found, pairs = [], []
     for dim in sizes:
-        result = _search(classes.where(F.size("_v") == dim), dim, threshold, sigmas)
+        result = _search(classes.where(F.size("_v") == dim), dim, threshold)
         found.append(result.where("q IS NOT NULL").select("q", "n"))
         pairs.append(result.where("a IS NOT NULL").select("a", "b"))
     out = rows.select("_id", "_label", "_v")
@@ -279,12 +301,12 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     )
 
 
-def _search(classes: DataFrame, dim: int, threshold: float, sigmas: float) -> DataFrame:
+def _search(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     n, most = classes.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
-    sample = bounded_sample(classes.select("_rep", "_v"), "_rep", n, wanted_sample(most)).toPandas().sort_values("_rep")
+    sample = bounded_sample(classes.select("_rep", "_v"), "_rep", n, wanted_sample(most, dim)).toPandas().sort_values("_rep")
     _, unit = _unit(pa.array(sample["_v"]), dim)
-    index = spark.sparkContext.broadcast(fit(unit, most, threshold, sigmas))  # at most TRAIN_VECTORS / 8 centroids
+    index = spark.sparkContext.broadcast(fit(unit, most, threshold))  # at most TRAIN_VECTORS / 8 centroids
     label = classes.schema["_label"].dataType.simpleString()
     vector = classes.schema["_v"].dataType.simpleString()
     schema = f"_rep long, _label {label}, _v {vector}, _mult long, _list int, _codes binary, _error double, _probes array<int>"

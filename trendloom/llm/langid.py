@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_sample, crc32_mod, slices, text_buffer, without
+from trendloom.llm.common import crc32_mod, drawn_sample, slices, text_buffer, without
 
 BITS = 16
 #: Labelled rows that the model is fitted on, at most.
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
 def train(docs: DataFrame, learn, text: str = "text", label: str = "lang", doc_id: str = "doc_id", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on a sample of at most `most` rows and most_bytes of those with a label that satisfy `learn`, a condition on the id."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.coalesce(learn, F.lit(False))).select(doc_id, text, label)
-    got = bounded_sample(rows, doc_id, rows.count(), most, F.octet_length(text), most_bytes).toPandas().sort_values([doc_id, label, text], na_position="first")
+    got = drawn_sample(rows.where, doc_id, rows.count(), most, F.octet_length(text), most_bytes).toPandas().sort_values([doc_id, label, text], na_position="first")
     return fit(got[text].tolist(), got[label].tolist())
 
 

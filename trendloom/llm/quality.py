@@ -90,10 +90,10 @@ def _counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     raw, at = raw[at[0] : at[-1]], at - at[0]
     out = np.zeros((rows, SHAPES + GRAMS + 2), np.float64)
     n = len(raw)
-    if n < 3:
+    if not n:
         return out
     row = np.repeat(np.arange(rows), np.diff(at))
-    inner = row[2:] == row[:-2]
+    inner = row[2:] == row[:-2]  # nothing for a text of one or two bytes, whatever stands beside it
     s, b = _SHAPE[raw], raw.astype(np.uint64)
     shape3 = (s[:-2] << np.uint64(16) | s[1:-1] << np.uint64(8) | s[2:])[inner]
     byte3 = (b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:])[inner]
