@@ -47,7 +47,7 @@ def test_query(spark, sf_dir, duck, name):
 
 
 #: Queries that SQL cannot express, each with a test of its own below.
-WITHOUT_SQL = {"promotion_precheck", "promoted_aliases", "fuzzy_names", "fuzzy_bands", "parsed_pages", "semantic_profiles"}
+WITHOUT_SQL = {"promotion_precheck", "promoted_aliases", "fuzzy_names", "fuzzy_bands", "parsed_pages", "semantic_profiles", "create_bucket_review"}
 
 
 def test_every_query_has_sql_or_a_test():
@@ -188,3 +188,62 @@ def test_semantic_profiles(spark, sf_dir):
         r = got[e]
         assert (r.differentiators, r.positioning, r.intents) == (d, kinds["positioning"], i)
         assert set(r.flags) == {k for k, v in flags.items() if v} and r.narrative == sentence
+
+
+def test_create_bucket_review(spark, sf_dir, parts):
+    """The ordered rules, applied one by one to every candidate."""
+    from trendloom.operators import review as V
+
+    names = sorted(set(parts.p_name))
+    brands = {n.split(" ")[0]: n.split(" ")[0].capitalize() for n in names} | {"noir": "Noir"}
+    aliases, master = {n.split(" ")[-1] for n in names if n > "p"}, [n.lower() for n in names]
+    merges = {n + "s": n for n in names if n.startswith("f")}
+    known = {n for n in names if n < "d"}
+    texts = {"le parfum", "ab"}
+    for n in names:
+        a, z = n.split(" ")[0], n.split(" ")[-1]
+        texts |= {n, n + "s", f"{a} notes", f"{a} amber", a, f"{a} zq {z}", f"noir {z}", f"quark {z}", f"{a} with {z}", f"{a} {n[::-1]}", f"{a} {z} é"}
+
+    def decide(text, kind):
+        words = text.split(" ")
+        first = lambda xs, listed: next((x for x in xs if x in listed), None)
+        no = "reject_create_candidate"
+        if text in known:
+            return "exact_now_in_kb", "now_in_kb_after_seed"
+        if len(text) <= 3:
+            return no, "too_short"
+        if not text.isascii():
+            return no, "non_ascii"
+        if hit := first(words, V.FOREIGN_WORDS):
+            return no, f"foreign_function_word:{hit}"
+        if hit := next((p for p in V.CONTENT_PHRASES if p in text), None):
+            return no, f"content_phrase:{hit}"
+        if kind == "brand":
+            return (no, "single_short_token_brand") if len(words) == 1 and len(text) < 4 else ("keep_as_valid_create", "new_brand")
+        if kind == "note":
+            return "defer_create", "unknown_entity_type:note"
+        two = " ".join(words[:2])
+        brand, rest = (brands[two], words[2:]) if two in brands and len(words) > 1 else (brands.get(words[0]), words[1:])
+        if brand is None:
+            return (no, "single_token_no_brand") if len(words) == 1 else ("defer_create", "brand_not_resolvable")
+        for listed, tag in ((V.PRODUCT_FRAGMENTS, "brand_part_is_product_fragment"), (V.GENERIC_BRANDS, "brand_part_is_generic")):
+            if brand.lower() in listed:
+                return no, f"{tag}:{brand.lower()}"
+        if not rest:
+            return no, "no_perfume_part_after_brand"
+        for listed, tag in ((V.PYRAMID_WORDS, "perfume_part_is_pyramid_position"), (V.CONTEXT_WORDS, "perfume_part_context_token")):
+            if hit := first(rest, listed):
+                return no, f"{tag}:{hit}"
+        if len(rest) == 1 and rest[0] in V.NOTE_WORDS:
+            return no, f"single_note_word_perfume_part:{rest[0]}"
+        if " ".join(rest) in aliases:
+            return "convert_to_merge", f"perfume_part_in_aliases:{' '.join(rest)}"
+        if text in merges:
+            return "convert_to_merge", f"fuzzy_merge:{merges[text]}"
+        if close := _best(" ".join([brand.lower(), *rest]), master, V.LENIENT):
+            return "convert_to_merge", f"lenient_fuzzy:{close[0]:.2f}:{close[1]}"
+        return "keep_as_valid_create", f"new_perfume:brand={brand}"
+
+    got = {(r.text, r.kind): (r.decision, r.reason) for r in catalog.QUERIES["create_bucket_review"](spark, sf_dir).collect()}
+    assert got == {(t, k): decide(t, k) for t in texts for k in ("perfume", "brand", "note")}
+    assert {d for d, _ in got.values()} == {"exact_now_in_kb", "reject_create_candidate", "convert_to_merge", "keep_as_valid_create", "defer_create"}

@@ -221,20 +221,22 @@ def _fuzzy_keys(strings: DataFrame, often: DataFrame, least: float, every_length
     w = Window.partitionBy("s").orderBy("_f", "key")
     ranked = strings.select("s", "size", F.explode("pairs").alias("key")).join(often, "key").withColumn("_r", F.row_number().over(w))
     rare = ranked.where((needed >= 1) & (F.col("_r") <= size - 1 - needed + 1)).select("s", "key")
-    short = max([k for k in range(64) if k * 2 / (2 - least) * (1.5 * least - 1) - 1 <= 1e-9])
+    short = int((2 - least) / (3 * least - 2) + 1e-9)  # up to this length no pair need be shared
     brief = strings.where(size <= int(short * (2 - least) / least + 1e-9))
     lengths = F.sequence(F.ceil(size * least / (2 - least) - 1e-9).cast("int"), F.floor(size * (2 - least) / least + 1e-9).cast("int")) if every_length else F.array(size)
     return rare.unionByName(brief.select("s", F.explode(F.transform(lengths, lambda k: F.concat(F.lit("length "), k.cast("string")))).alias("key")))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = 0.88, ratio=T.sequence_ratio) -> DataFrame:
-    """(text, name, ratio): all pairs of left(text) and right(name) of a ratio of `least` (over 2/3) or more, case ignored.
+    """(text, name, ratio): all pairs of left(text) and right(name) of a ratio of `least` (over 2/3, else it raises) or more, case ignored.
 
     Of two strings of T characters together, M of which match, at most T - 2M + 1 runs of matching characters lie side by side,
     so they share at least 3M - T - 1 pairs of neighbouring characters, and a ratio 2M / T of `least` asks for a number of them. Two sets
     that share c elements share one of the rarest |set| - c + 1 of each, which makes the search
     an equi-join that loses nothing; the ratio is worked out for pairs alone that share enough.
     """
+    if least * 3 <= 2:
+        raise ValueError("ratios of two thirds and less share no pair of characters for sure")
     form = lambda t, c: t.where(F.col(c).isNotNull()).select(F.col(c).alias("v"), F.lower(c).alias("s")).distinct()
     a, b = form(left, "text"), form(right, "name")
     sized = lambda t: t.select("s").distinct().select("s", F.length("s").alias("size"), _numbered_pairs(F.col("s")).alias("pairs"))

@@ -221,3 +221,14 @@ def period_change(now: DataFrame, before: DataFrame, key: str, value: str) -> Da
     j = now.select(key, F.col(value).alias("_n")).join(before.select(key, F.col(value).alias("_b")), key, "full")
     delta = F.round(F.coalesce("_n", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)), 4)
     return j.select(key, delta.alias("delta"), S.direction(delta).alias("direction"))
+
+
+def top_by_type(rows: DataFrame, most: int = 8, key: str = "entity_id") -> DataFrame:
+    """(key, topic_type, topics): the first `most` topics of each type in one pass over rows(key, topic_type, topic_text, occurrences, avg_score).
+
+    More occurrences come first, then the higher mean score, then the smaller text. Ranks are limited before the shuffle, so a
+    partition hands on `most` rows of a group at most, however large the group.
+    """
+    w = Window.partitionBy(key, "topic_type").orderBy(F.desc("occurrences"), F.desc("avg_score"), "topic_text")
+    top = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return top.groupBy(key, "topic_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "topic_text"))), lambda x: x["topic_text"]).alias("topics"))

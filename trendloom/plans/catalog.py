@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendloom.plans import discovery, ingest, market, pages, silver, streams, text_sql, texts  # noqa: F401
+from trendloom.plans import discovery, ingest, market, pages, silver, streams, text_sql, texts, upkeep  # noqa: F401
 from trendloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

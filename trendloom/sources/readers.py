@@ -147,3 +147,24 @@ def enrichment_record(parsed: DataFrame) -> DataFrame:
 def script_json(pages: DataFrame, marker: str, schema: str, html: str = "html") -> DataFrame:
     """The JSON of the script element with an id, parsed under a schema; null where there is none."""
     return pages.withColumn("data", F.from_json(F.nullif(F.regexp_extract(html, rf'(?s)<script[^>]*id="{marker}"[^>]*>(.*?)</script>', 1), F.lit("")), schema))
+
+
+def checked_records(lines: DataFrame, schema: str, required: list[str], kinds: dict[str, list[str]], most_retries: int = 3) -> DataFrame:
+    """lines(line, retries) of landed JSON -> (record, kind, reason, retries, again): every line once, whatever is wrong with it.
+
+    schema is a record's DDL with a `kind` field; the line is parsed once, and what does not parse keeps its text in _corrupt. The
+    first reason that holds: corrupt, missing:<field> (required of all, the kind itself, and kinds' own of that kind), unknown_kind. A line without a
+    reason is accepted and routed by its kind; a rejected one goes back (again) until it was retried most_retries times.
+    """
+    r = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    p = lines.select("line", F.coalesce("retries", F.lit(0)).alias("retries"), r.alias("record"))
+    lacks = lambda f: F.col(f"record.{f}").isNull() | (F.trim(F.col(f"record.{f}").cast("string")) == "")
+    reason = F.when(F.col("record").isNull() | F.col("record._corrupt").isNotNull() | F.col("line").isNull(), "corrupt")
+    for f in [*required, "kind"]:
+        reason = reason.when(lacks(f), f"missing:{f}")
+    reason = reason.when(~F.col("record.kind").isin(*kinds), "unknown_kind")
+    for kind, fields in kinds.items():
+        for f in fields:
+            reason = reason.when((F.col("record.kind") == kind) & lacks(f), f"missing:{f}")
+    p = p.withColumn("reason", reason)
+    return p.select("line", "record", F.when(F.col("reason").isNull(), F.col("record.kind")).alias("kind"), "reason", "retries", (F.col("reason").isNotNull() & (F.col("retries") < most_retries)).alias("again"))
