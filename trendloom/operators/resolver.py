@@ -75,17 +75,22 @@ def resolve(texts: DataFrame, aliases: DataFrame, longest: int = LONGEST) -> Dat
 
 
 def with_context(found: DataFrame, texts: DataFrame, near: int = NEAR) -> DataFrame:
-    """Adds the tokens around each match, the match itself left out."""
-    t = tokenized(texts)
+    """Adds the tokens around each match, the match itself left out; matches that carry them are left as they are."""
+    if "context" in found.columns:
+        return found
+    t = tokenized(texts.join(found.select("id").distinct(), "id", "left_semi"))  # texts without a match are not tokenised
     before = F.expr(f"slice(tokens, greatest(pos - {near}, 0) + 1, least(pos, {near}))")
     after = F.expr(f"slice(tokens, pos + n + 1, {near})")
     return found.join(t, "id").withColumn("context", F.concat(before, after)).drop("tokens")
 
 
 def guard_phrases(found: DataFrame, texts: DataFrame, guards: DataFrame) -> DataFrame:
-    """Matches of a guarded phrase(alias, brand_tokens array) stay only with a brand token near them."""
+    """Matches of a guarded phrase(alias, brand_tokens array) stay only with a brand token near them.
+
+    Several guards over one set of matches take them from with_context(), so that texts are tokenised and joined once.
+    """
     g = with_context(found, texts).join(guards, "alias", "left")
-    return g.where(F.col("brand_tokens").isNull() | F.arrays_overlap("context", "brand_tokens")).drop("brand_tokens", "context")
+    return g.where(F.col("brand_tokens").isNull() | F.arrays_overlap("context", "brand_tokens")).select(*found.columns)
 
 
 def drop_conflicts(found: DataFrame, texts: DataFrame, brand_tokens: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ CHAT = WORDS.format(id="conv_id || '-' || turn", text="text", table="conversatio
 
 ORACLE_SQL["resolved_records"] = f"WITH {DOCS} SELECT id, entity_id, 'Item ' || entity_id AS name, alias AS matched_from, row_number() OVER (PARTITION BY id ORDER BY pos, entity_id) - 1 AS place FROM m"
 
-ORACLE_SQL["resolve_all_lengths"] = f"""WITH {DOCS}, d AS (
-    SELECT alias, min(item_id) AS entity_id, any_value(n) AS n FROM (
-        SELECT item_id, n, array_to_string(t[1 : n], ' ') AS alias FROM (SELECT item_id, t, unnest([item_id % 6 + 1, (item_id + 2) % 6 + 1]) AS n FROM bn) WHERE len(t) >= n
-    ) GROUP BY alias
+ALL_LENGTHS = f"""WITH {DOCS}, every AS (
+    SELECT item_id, n, array_to_string(t[1 : n], ' ') AS alias FROM (SELECT item_id, t, unnest([item_id % 6 + 1, (item_id + 2) % 6 + 1]) AS n FROM bn) WHERE len(t) >= n
+), d AS (
+    SELECT alias, min(item_id) AS entity_id, any_value(n) AS n FROM every GROUP BY alias
 ), e AS (
     SELECT id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS i FROM w
 ), p AS (
@@ -51,8 +51,17 @@ ORACLE_SQL["resolve_all_lengths"] = f"""WITH {DOCS}, d AS (
     FROM e JOIN d ON word = split_part(d.alias, ' ', 1) JOIN w ON w.id = e.id WHERE array_to_string(w.t[i : i + d.n - 1], ' ') = d.alias
 ), h AS (
     SELECT * FROM p WHERE NOT (n = 1 AND (next IN {_in(V.CONTRACTION_TAILS)} OR alias IN {_in(V.BLOCKED_WORDS)})) AND alias NOT IN {_in(V.BLOCKED_PHRASES)}
-)
-SELECT DISTINCT ON (id, entity_id) id, entity_id, alias, CAST(n AS INTEGER) AS n, CAST(pos AS INTEGER) AS pos FROM h ORDER BY id, entity_id, n DESC, pos, alias"""
+), r AS (SELECT DISTINCT ON (id, entity_id) id, entity_id, alias, CAST(n AS INTEGER) AS n, CAST(pos AS INTEGER) AS pos FROM h ORDER BY id, entity_id, n DESC, pos, alias
+)"""
+
+ORACLE_SQL["resolve_all_lengths"] = ALL_LENGTHS + "SELECT * FROM r"
+
+ORACLE_SQL["guarded_all_lengths"] = ALL_LENGTHS + """, c AS (
+    SELECT r.*, list_concat(t[greatest(pos - 9, 1) : pos], t[pos + n + 1 : pos + n + 10]) AS near, entity_id % 5 AS brand FROM r JOIN w USING (id)
+), g AS (SELECT * FROM c WHERE alias NOT IN (SELECT alias FROM every WHERE item_id % 2 = 0) OR list_has_any(near, ['the', 'of', 'and']))
+SELECT id, entity_id, alias, n, pos FROM g
+WHERE list_has_any(string_split(alias, ' '), ['brand', CAST(brand AS VARCHAR)])
+   OR NOT (list_has_any(near, ['with', 'from'])) OR (brand = 1 AND list_contains(near, 'with')) OR (brand = 2 AND list_contains(near, 'from'))"""
 
 ORACLE_SQL["guarded_resolution"] = f"""WITH {DOCS}, c AS (
     SELECT m.*, list_concat(t[greatest(pos - 9, 1) : pos], t[pos + 4 : pos + 13]) AS near, entity_id % 5 AS brand FROM m JOIN w USING (id)

@@ -139,15 +139,31 @@ def resolve_documents(spark, sf_dir):
     return R.resolve(docs, _aliases(spark, sf_dir)).select(F.col("id").alias("doc_id"), "entity_id")
 
 
-@query("resolve_all_lengths")
-def resolve_all_lengths(spark, sf_dir):
-    """RES01-03, JN31: a dictionary of one to six words, two lengths for each entity; the longest match, then the leftmost, of each text."""
+def _all_lengths(spark, sf_dir):
+    """Aliases of one to six words, two lengths for each entity."""
     t = T.normalized_words(F.col("text"))
     n = lambda k: F.pmod(F.col("item_id") + k, F.lit(6)).cast("int") + 1
     b = B.table(spark, sf_dir, "benchmark").select("item_id", t.alias("t"), F.explode(F.array(n(0), n(2))).alias("n")).where(F.size("t") >= F.col("n"))
-    a = b.select(F.array_join(F.expr("slice(t, 1, n)"), " ").alias("alias"), F.col("item_id").alias("entity_id"), F.lit("x").alias("name"), F.lit("y").alias("brand"))
+    brand = F.concat(F.lit("Brand "), F.pmod("item_id", F.lit(5)))
+    return b.select(F.array_join(F.expr("slice(t, 1, n)"), " ").alias("alias"), F.col("item_id").alias("entity_id"), F.lit("x").alias("name"), brand.alias("brand"))
+
+
+@query("resolve_all_lengths")
+def resolve_all_lengths(spark, sf_dir):
+    """RES01-03, JN31: a dictionary of one to six words; the longest match, then the leftmost, of each text."""
     docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.resolve(docs, a).select("id", "entity_id", "alias", "n", "pos")
+    return R.resolve(docs, _all_lengths(spark, sf_dir)).select("id", "entity_id", "alias", "n", "pos")
+
+
+@query("guarded_all_lengths")
+def guarded_all_lengths(spark, sf_dir):
+    """RES04, RES05: guards and brand conflicts of aliases of one to six words, single words among them."""
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    table = _all_lengths(spark, sf_dir)
+    found = R.with_context(R.resolve(docs, table), docs)
+    guards = table.where("entity_id % 2 = 0").select("alias").distinct().withColumn("brand_tokens", F.array(F.lit("the"), F.lit("of"), F.lit("and")))
+    tokens = spark.createDataFrame([("with", "Brand 1"), ("from", "Brand 2")], "token string, brand string")
+    return R.drop_conflicts(R.guard_phrases(found, docs, guards), docs, tokens).select("id", "entity_id", "alias", "n", "pos")
 
 
 @query("entity_item_counts", f"WITH {RESOLVED} SELECT entity_id, count(DISTINCT doc_id) AS items FROM m GROUP BY entity_id")
@@ -175,7 +191,7 @@ def guarded_resolution(spark, sf_dir):
     """RES04, RES05: guarded phrases and conflicting brands."""
     docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     table = _aliases(spark, sf_dir)
-    found = R.resolve(docs, table)
+    found = R.with_context(R.resolve(docs, table), docs)
     guards = table.where("entity_id % 2 = 0").select("alias", F.array(F.lit("the"), F.lit("of"), F.lit("and")).alias("brand_tokens"))
     tokens = spark.createDataFrame([("with", "Brand 1"), ("from", "Brand 2")], "token string, brand string")
     return R.drop_conflicts(R.guard_phrases(found, docs, guards), docs, tokens).select("id", "entity_id", "alias", "pos")
