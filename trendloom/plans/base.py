@@ -76,7 +76,7 @@ def entities_of() -> Column:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.entity_hits(content(spark, sf_dir), resolved(spark, sf_dir))
+    return O.hits_of(items_of(table(spark, sf_dir, "events")))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

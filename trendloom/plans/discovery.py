@@ -10,10 +10,10 @@ from trendloom.functions import text as T
 from trendloom.operators import candidates as C
 from trendloom.operators import creators as K
 from trendloom.operators import resolver as R
-from trendloom.operators import series as O
 from trendloom.plans import base as B
 from trendloom.plans.market import SIGNALS
 from trendloom.plans.registry import query
+from trendloom.streaming import daystore as D
 
 TIERS = ("tier_1", "tier_2", "tier_3", "tier_4", "unrated", "blocked")
 
@@ -143,7 +143,7 @@ er AS (SELECT rel.*, first_signal, coalesce(first_day < first_signal, false) AS
 def early_signals(spark, sf_dir):
     """JN30: first mention before the first signal."""
     rel = K.relationships(_creator_mentions(spark, sf_dir))
-    return K.early_signals(rel, O.signals(B.series(spark, sf_dir))).select("creator", "entity_id", "first_day", "first_signal", "early", "days_before")
+    return K.early_signals(rel, D.stored_signals(B.stored(spark, sf_dir).series())).select("creator", "entity_id", "first_day", "first_signal", "early", "days_before")
 
 
 @query("creator_scores", B.sql(EARLY + """, c AS (SELECT CAST(user_id AS VARCHAR) AS creator, CAST(sum(round(value)) AS BIGINT) AS subscribers FROM events GROUP BY 1),
@@ -153,7 +153,7 @@ FROM c JOIN r USING (creator)"""))
 def creator_scores(spark, sf_dir):
     """AG23, SCA11, JN28."""
     m = _creator_mentions(spark, sf_dir)
-    rel = K.early_signals(K.relationships(m), O.signals(B.series(spark, sf_dir))).withColumn("avg_rate", F.lit(0.0))
+    rel = K.early_signals(K.relationships(m), D.stored_signals(B.stored(spark, sf_dir).series())).withColumn("avg_rate", F.lit(0.0))
     items = m.groupBy("creator", "item").agg(F.count(F.lit(1)).alias("n_entities"))
     ch = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("creator")).agg(F.sum(F.round("value")).cast("long").alias("subscribers"))
     out = K.creator_scores(items, rel, ch)
