@@ -143,6 +143,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([(1, ["a", "b"], {"k": 1})], "i int, a array<string>, m map<string,int>"), csv)
     assert spark.read.option("header", True).csv(csv).first().asDict() == {"i": "1", "a": "a; b", "m": "k=1"}
     assert sinks.markdown(df((1, 0, 1)), "t").startswith("# t\n\n| k | day | v |")
+    assert sinks.markdown(df((1, 0, 1), (2, 0, 1), (3, 0, 1)), "t", 2).endswith("|\n\nand 1 more\n") and "more" not in sinks.markdown(df((1, 0, 1)), "t", 1)
 
 
 def test_stateful_streams(spark, tmp_path):

@@ -87,10 +87,11 @@ def summary_sentence(kpis: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small table as Markdown; only the first `most` rows reach the driver, since a report is for reading."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown; only the first `most` rows reach the driver, since a report is for reading, and it says how many more there are."""
+    rows = df.limit(most + 1).collect()
+    more = [f"\nand {df.count() - most} more"] if len(rows) > most else []
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]]) + "\n"
+    return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]], *more]) + "\n"
 
 
 def ranked(df: DataFrame, by: Column, key: str, most: int) -> DataFrame:

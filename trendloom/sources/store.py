@@ -38,6 +38,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._known: dict[str, list] = {}  # log folders never change: each is read once
+        self._held: dict[tuple[str, int], set[str]] = {}  # nor do the rows of a committed version: each is listed once
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -87,8 +88,10 @@ class Store:
         """The rows of the given partitions, of all by default; `part` is one of the columns of schema."""
         stored = self.parts(table)
         wanted = stored if parts is None else {p: stored[p] for p in map(str, parts) if p in stored}
-        paths = [f"{self.path}/{table}/_v={v}/{part}={p}" for p, versions in sorted(wanted.items()) for v in versions]
-        paths = [p for p in paths if self._fs(p)[1].exists(self._fs(p)[0])]  # a partition may have lost its last row
+        for v in {v for versions in wanted.values() for v in versions} - {v for t, v in self._held if t == table}:
+            self._held[table, v] = set(self._names(f"{self.path}/{table}/_v={v}"))
+        held = lambda p, v: f"{part}={p}" in self._held[table, v]  # noqa: E731  a partition may have lost its last row
+        paths = [f"{self.path}/{table}/_v={v}/{part}={p}" for p, versions in sorted(wanted.items()) for v in versions if held(p, v)]
         typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if not paths:
             return self.spark.createDataFrame([], typed)
