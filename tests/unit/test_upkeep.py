@@ -115,3 +115,11 @@ def test_low_ratios_lose_no_long_pair_and_too_low_ones_raise(spark):
     assert got.count() in (0, 1)
     with pytest.raises(ValueError):
         R.fuzzy_pairs(spark.createDataFrame([(a,)], "text string"), spark.createDataFrame([(b,)], "name string"), 0.6)
+
+
+def test_commands_are_folded_in_order(spark):
+    rows = spark.createDataFrame([(1, 5.0, "A"), (2, 6.0, None), (3, 7.0, "A")], "id long, threshold double, state string")
+    cmd = [(1, 3, "update", 9.0, None), (1, 2, "create", 1.0, "x"), (2, 1, "delete", None, None), (2, 2, "update", 4.0, "y"), (2, 3, "create", 8.0, None), (4, 1, "update", 1.0, "z"), (5, 1, "create", None, "n"), (5, 2, "update", 2.0, None), (3, 9, "delete", None, None)]
+    got = V.commanded(rows, spark.createDataFrame(cmd, "id long, seq long, op string, threshold double, state string"), "id", ["threshold", "state"])
+    assert sorted(map(tuple, got.collect())) == [(1, 9.0, "A"), (2, 8.0, None), (5, 2.0, "n")]
+    assert V.commanded(rows.limit(0), got.limit(0).selectExpr("id", "1L AS seq", "'x' AS op", "threshold", "state"), "id", ["threshold", "state"]).count() == 0

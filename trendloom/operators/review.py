@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from trendloom.functions import text as T
 from trendloom.operators import candidates as C
@@ -147,3 +148,22 @@ def intake(candidates: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFr
     told = j.withColumn("_s", F.aggregate(F.coalesce("_a", F.array().cast(per.schema["_a"].dataType)), zero, fold))
     after = told.where("status IS NOT NULL").select(*[F.col(f"_s.{c}").alias(c) if c in ("status", "role", "eligible") else F.col(c) for c in candidates.columns])
     return after, told.select("id", F.explode("_s.log").alias("e")).select("id", "e.*")
+
+
+def commanded(rows: DataFrame, commands: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows after create, update and delete commands(key, seq, op, columns) in the order of seq, as a table: one shuffle by key.
+
+    A create of a row that is there, and an update or delete of one that is not, change nothing. An update sets the
+    columns that it gives and leaves those that are null. Commands of one key are few; they are folded in order.
+    """
+    stored = rows.select(key, F.lit(None).cast(commands.schema["seq"].dataType).alias("seq"), F.lit("create").alias("op"), *columns)  # the first command of its key
+    every = stored.unionByName(commands.select(key, "seq", "op", *columns))
+    per = every.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "op", *columns))).alias("_a"))
+    none = F.lit(None).cast(StructType([StructField(c, every.schema[c].dataType) for c in columns]))
+
+    def fold(r: Column, a: Column) -> Column:
+        given = F.struct(*[a[c].alias(c) for c in columns])
+        laid = F.struct(*[F.coalesce(a[c], r[c]).alias(c) for c in columns])
+        return F.when((a["op"] == "create") & r.isNull(), given).when((a["op"] == "update") & r.isNotNull(), laid).when(a["op"] == "delete", none).otherwise(r)
+
+    return per.select(key, F.aggregate("_a", none, fold).alias("_r")).where("_r IS NOT NULL").select(key, "_r.*")

@@ -245,3 +245,29 @@ def appended_mentions(spark, sf_dir):
     W.append_new(first, spark.createDataFrame([], schema), keys, path)
     W.append_new(second, spark.read.schema(schema).parquet(path), keys, path)
     return spark.read.schema(schema).parquet(path)
+
+
+@query("alert_records", """WITH cmd AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'create' ELSE 'update' END AS op,
+    CAST(o_totalprice AS DOUBLE) AS threshold, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS state FROM orders
+), stored AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS threshold, 'A' AS state FROM customer WHERE c_custkey % 3 <> 2
+), ids AS (SELECT id FROM cmd UNION SELECT id FROM stored
+), cutoff AS (SELECT ids.id, max(seq) AS d FROM ids LEFT JOIN cmd ON cmd.id = ids.id AND op = 'delete' GROUP BY 1
+), base AS (
+    SELECT c.id, -1 AS seq, s.threshold, s.state FROM cutoff c JOIN stored s ON s.id = c.id WHERE d IS NULL
+    UNION ALL
+    SELECT c.id, min(k.seq), arg_min(k.threshold, k.seq), CASE WHEN min(k.seq) % 2 = 0 THEN arg_min(coalesce(k.state, '-'), k.seq) END
+    FROM cutoff c JOIN cmd k ON k.id = c.id AND k.op = 'create' AND k.seq > coalesce(d, -1) LEFT JOIN stored s ON s.id = c.id WHERE d IS NOT NULL OR s.id IS NULL GROUP BY c.id
+), u AS (
+    SELECT b.id, arg_max(k.threshold, k.seq) AS threshold, arg_max(k.state, k.seq) FILTER (k.state IS NOT NULL) AS state FROM base b JOIN cmd k ON k.id = b.id AND k.op = 'update' AND k.seq > b.seq GROUP BY b.id
+)
+SELECT b.id, coalesce(u.threshold, b.threshold) AS threshold, coalesce(u.state, b.state) AS state FROM base b LEFT JOIN u ON u.id = b.id""")
+def alert_records(spark, sf_dir):
+    """ALR03: stored alerts after all create, update and delete commands."""
+    c, o = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "orders")
+    rows = c.where("c_custkey % 3 <> 2").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("threshold"), F.lit("A").alias("state"))
+    m = F.pmod("o_orderkey", F.lit(5))
+    op = F.when(m == 0, "delete").when(m == 1, "create").otherwise("update")
+    commands = o.select(
+        F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), op.alias("op"), F.col("o_totalprice").cast("double").alias("threshold"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.col("o_orderstatus")).alias("state")
+    )
+    return V.commanded(rows, commands, "id", ["threshold", "state"])
