@@ -27,7 +27,7 @@ TRAIN_ROWS = 6_000
 #: Bytes of their texts together, at most.
 TRAIN_BYTES = 64 << 20
 SWITCH = 12.0
-#: Characters that one Viterbi pass covers at most, but for a longer word.
+#: Characters that one Viterbi pass covers at most; text without a blank for so long is cut between characters.
 SEGMENT = 1 << 19
 UNKNOWN = "und"
 
