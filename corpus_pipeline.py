@@ -2,7 +2,9 @@
 
 1. quality: documents scored below 0.7 by nearest-neighbour voting go.
 2. lines: later copies of runs of 50 words and more, wherever they begin and end, are deleted.
-3. near_duplicates: of each component of near copies (five-word shingles, exact Jaccard similarity of 0.8 or more) the smallest id stays.
+3. near_duplicates: of each component of near copies the smallest id stays. Candidates come from SimHash fingerprints of five-word
+   shingles by meet-in-the-middle ball hashing, as in op5, and, beyond three bits, from min-hash keys; two texts are near copies
+   when the exact Jaccard similarity of their shingle sets is 0.8 or more.
 4. mixture: sources are repeated at Poisson rates towards equal shares of bytes.
 5. packing: what is left is packed into sequences of at most 2048 tokens.
 
@@ -42,7 +44,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies, the one with the smallest id, null ids last."""
+    """Keep one document of each component of near copies, the one with the smallest id, null ids last; SimHash by ball hashing, then exact similarities."""
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
     found = simhash.similar_documents(placed.select("_row", "doc_id", "text"), words=5, similarity=0.8)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("_row").alias("row"))

@@ -292,6 +292,25 @@ def test_similar_documents_in_many_blocks(spark):
     assert got == want
 
 
+def test_similar_documents_by_ball_hashing(spark, monkeypatch):
+    """Without shared min-hash keys, near copies within three bits are found all the same, and the exact check still decides."""
+    random.seed(22)
+    word = lambda: "w%d" % random.randrange(10**6)
+    rows = []
+    for g in range(30):
+        text = [word() for _ in range(600)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join([*text[:300], word(), *text[301:]]))]
+    loop = " ".join(word() for _ in range(11))
+    rows += [(k, " ".join([loop] * 100 + [word() for _ in range(20)])) for k in (60, 61)]  # alike fingerprints, unlike sets
+    prints = {i: int(simhash.majority(np.array(h := simhash.shingle_hashes(t.encode(), 5), np.uint64), np.array([len(h)]))[0]) for i, t in rows}
+    near = {g for g in range(0, 62, 2) if (prints[g] ^ prints[g + 1]).bit_count() <= 3}
+    assert 60 in near and len(near) > 10
+    alone = lambda sets: np.array([[hash((b, x.tobytes())) & (2**63 - 1) for b in range(30)] for x in sets], np.uint64).reshape(-1, 30)
+    monkeypatch.setattr(simhash, "band_keys", alone)
+    got = _similar_got(spark, rows)
+    assert {g for g in range(0, 62, 2) if got[g + 1] == g} == near - {60}
+
+
 def test_linked_sets_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -228,9 +228,9 @@ def _labelled(fp: DataFrame, own: DataFrame, labels: DataFrame, names: dict[str,
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs(..., _text) with _node (a hash of the shingle set, equal for equal sets), _keys (min-hash bands) and _size (bytes) in place of the text."""
-    others = docs.columns[:-1]
-    schema = docs.select(*others, F.lit(0).cast("long").alias("_node"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).cast("long").alias("_size")).schema
+    """docs(..., _text) with _node (a hash of the shingle set, equal for equal sets), _print (the fingerprint), _keys (min-hash bands) and _size (bytes) in place of the text."""
+    others, zero = docs.columns[:-1], F.lit(0).cast("long")
+    schema = docs.select(*others, zero.alias("_node"), zero.alias("_print"), F.array(zero).alias("_keys"), zero.alias("_size")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -238,11 +238,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for i, j in slices(ends, 2 << 20):
                 batch = whole.slice(i, j - i)
                 raw, at = text_buffer(batch.column(len(others)))
-                sets = [shingle_set(raw[a:b].tobytes(), words) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                each = [np.array(shingle_hashes(raw[a:b].tobytes(), words), np.uint64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                prints = majority(np.concatenate(each), np.array([len(x) for x in each], np.int64))
+                sets = [np.unique(x) for x in each]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
                 columns = [batch.column(k) for k in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.view(np.int64)), keys, pa.array(np.diff(at))], names=[*others, "_node", "_keys", "_size"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), keys, pa.array(np.diff(at))], names=[*others, "_node", "_print", "_keys", "_size"])
 
     return docs.mapInArrow(run, schema)
 
@@ -350,12 +352,14 @@ def _tiles(members: DataFrame, pairs: list, texts: DataFrame, words: int, simila
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """Like near_duplicates, for shingle sets of an exact Jaccard similarity of `similarity` or more; _fp is a hash of the set.
 
-    Fingerprints of such pairs differ in about ten of 64 bits, and balls of that radius are too
-    large to emit. So candidates are documents that share one of BANDS min-hash keys, which pairs
-    of similarity 0.8 do with a probability of 0.9999; every link is decided by the two sets.
+    Candidates come from near_duplicates' own method: the components of fingerprints within three bits, by
+    meet-in-the-middle ball hashing, are the first clusters. An exact check follows: every link is decided by the two sets.
+    Fingerprints of pairs of similarity 0.8 differ in about ten of 64 bits, and balls of that radius are too
+    large to emit. For what lies beyond three bits there are BANDS min-hash keys, one of which pairs
+    of similarity 0.8 share with a probability of 0.9999; a key whose documents are all of one component adds nothing and goes.
 
-    The smallest node of each key is its centre, and all documents that share a key with a centre are its
-    cluster, so the two of any candidate pair are in one cluster. A cluster's texts are compared by exact
+    The smallest node of each key that is left is its centre, and all documents that share a key with a centre are its
+    cluster, so the two of any candidate pair are in one cluster, of this kind or the first. A cluster's texts are compared by exact
     counts over postings, which gives a forest of its links and no pairs. Small clusters are put
     together in tasks of about block_bytes. A larger one is cut into blocks of that size: first every block meets the
     first one, then the documents outside the cluster's largest component, if any, meet all blocks. Two
@@ -367,13 +371,21 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     low = next(k for k, c in names.items() if c == doc_id)
     place = base.select(*names, F.monotonically_increasing_id().alias("_place"), "_text")
     fp = materialize(shingle_sets(place, words), "similar-sets")
-    rep = F.min_by(F.struct("_place", "_size", "_keys"), "_place").alias("_rep")
+    rep = F.min_by(F.struct("_place", "_size", "_print", "_keys"), "_place").alias("_rep")
     own = materialize(fp.groupBy(F.col("_node").alias("_fp")).agg(F.min(low).alias("_low"), rep).select("_fp", "_low", "_rep.*"), "similar-distinct")
-    each = materialize(own.select(F.explode("_keys").alias("key"), F.col("_fp").alias("node")), "similar-keys")
-    centre = each.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c")
-    centre = materialize(centre, "similar-centres")  # a table of its own: a frequent key's rows can be split
-    star = materialize(each.join(centre, "key").select("c", "node").distinct(), "similar-members")  # a centre is a member too
-    drop(each)
+    prints = materialize(own.select(F.col("_print").alias("_fp")).distinct(), "similar-prints")
+    balls = components(links(prints, prints.count()), "similar-balls").withColumnRenamed("node", "_ball")
+    told = own.join(balls, own["_print"] == balls["_ball"], "left").select(F.col("_fp").alias("node"), F.coalesce("component", "_print").alias("ball"), "_keys")
+    told = materialize(told, "similar-balls")
+    groups = told.groupBy("ball").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ball")
+    groups = materialize(groups, "similar-groups")  # a table of its own: a large group's rows can be split
+    each = materialize(told.select(F.explode("_keys").alias("key"), "node", "ball"), "similar-keys")
+    centre = each.groupBy("key").agg(F.min("node").alias("c"), F.min("ball").alias("low"), F.max("ball").alias("high")).where("low < high").select("key", "c")
+    centre = materialize(centre, "similar-centres")  # likewise
+    star = each.join(centre, "key").select("c", "node")  # a centre is a member too
+    star = materialize(star.unionByName(told.join(groups, "ball").select(F.col("ball").alias("c"), "node")).distinct(), "similar-members")
+    for used in (prints, told, groups, each):
+        drop(used)
     sized = own.select(F.col("_fp").alias("node"), "_place", "_size")
     needed = sized.join(star.select("node").distinct(), "node", "left_semi")
     texts = materialize(place.select("_place", "_text").join(needed, "_place").select("node", "_text"), "similar-texts")
@@ -403,7 +415,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         labels = components(found, "similar-cc")
     for used in (centre, star, plan, members, texts):
         drop(used)
-    return _labelled(fp.drop("_keys", "_size", "_place").withColumnRenamed("_node", "_fp"), own.select("_fp", "_low"), labels, names)
+    return _labelled(fp.drop("_keys", "_print", "_size", "_place").withColumnRenamed("_node", "_fp"), own.select("_fp", "_low"), labels, names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
