@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,24 @@ def test_second_encoder_equals_the_library(own):
     assert own.counts(texts[:50]) == [len(own.whole(t)) for t in texts[:50]]
 
 
+def test_count_of_long_texts(own):
+    """Counts without ids or offsets: equal to the library's, at little more than its time."""
+    random.seed(5)
+    words = ["don't", "l'été", "你好", "x1", "--", "🙂", "a_b", "\n", " ", "", "naïve", "<|endoftext|>", "3,000", "\u00b2", "e\u0301"]
+    for _ in range(300):
+        text = " ".join(random.choices(words, k=random.randrange(120)))
+        assert own.count(text, random.choice((16, 50, 200)), random.choice((1, 4, 30))) == len(own.whole(text))
+    assert own.count("x" * 3000, 100, 8) == len(own.whole("x" * 3000))
+    text, took = " ".join(f"word{random.randrange(500)} of, the### text.'" for _ in range(20_000)), {own.count: [], own.whole: []}
+    for _ in range(3):
+        for f, seconds in took.items():
+            began = time.process_time()
+            f(text)
+            seconds.append(time.process_time() - began)
+    assert own.count(text) == len(own.whole(text))
+    assert min(took[own.count]) < 1.8 * min(took[own.whole])
+
+
 def test_token_counts_edges(spark, own):
     schema = "doc_id long, text string, n_tokens string"
     assert tokens.token_counts(spark.createDataFrame([], schema)).count() == 0
