@@ -1,6 +1,6 @@
 """Exact dedup by deterministic block naming. DataFrame functions only.
 
-Texts are cut into fixed-size blocks. Equal blocks get one integer name, their
+Texts are cut into blocks of a fixed number of bytes. Equal blocks get one integer name, their
 rank among the sorted blocks of a hash bucket; then adjacent names are named
 as pairs, level by level, until a document is one name. Names are ranks of
 distinct values, so unlike digests they cannot collide, and two documents of as
@@ -45,14 +45,19 @@ def _named(values: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def blocks(data: str, block: int) -> Column:
+    """A binary column cut into an array of blocks of so many bytes, the last one shorter; no bytes are one empty block."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data)), F.lit(int(block)))
+    return F.transform(starts, lambda at: F.substring(F.col(data), at, F.lit(int(block))))
+
+
 def block_identities(texts: DataFrame, block: int = 2048) -> DataFrame:
     """texts(_row, _text) -> (_row, _blocks, _name) of the rows whose text occurs more than once.
 
     Rows with equal (_blocks, _name) hold equal texts, and rows that are absent
     hold texts that no other row has.
     """
-    pieces = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{int(block)}}}"), F.lit(0))
-    cut = texts.select("_row", F.when(F.length("_text") == 0, F.array(F.lit(""))).otherwise(pieces).alias("_cut"))
+    cut = texts.select("_row", F.col("_text").cast("binary").alias("_bytes")).select("_row", blocks("_bytes", block).alias("_cut"))
     rows = cut.select("_row", F.size("_cut").alias("_blocks"), F.posexplode("_cut").alias("_pos", "_block"))
     names = _named(rows.select("_block"), ["_block"])
     level = materialize(_whole(rows.join(names, "_block"), "_blocks"), "names")
