@@ -172,6 +172,30 @@ def test_text_queries_read_all_turns_and_whole_texts(spark, tmp_path):
     assert (0, "hello") in got and (1, "saffron leather tonka patchouli") in got and (1, "vanilla amber saffron") in got
 
 
+def _against_sql(spark, path, name):
+    """Rows of a query over the conversations below a folder, and those of its SQL."""
+    import duckdb
+
+    from trendloom.plans import catalog
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, str(path))
+    assert sorted(got.columns) == sorted(want.columns)
+    return sorted(tuple(r) for r in got.select(*want.columns).collect()), sorted(want.fetchall())
+
+
+WORDS_BESIDE_LETTERS = ("éàdes fin", "thé DERé", "oft théàof", "ʼund ünder undé", "ofé", "CANCIÓN", "canción", "CANCİÓN", "cancıón", "canciON", "deſ x", "deſx", "İdes", "ıdes ı", "١٢٣٤ 123", "12345", "x1234", "", "nothing", None)
+
+
+def test_topic_tags_as_in_sql(spark, tmp_path):
+    rows = [(k, k % 3, "user", x) for k, x in enumerate(WORDS_BESIDE_LETTERS)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got, want = _against_sql(spark, tmp_path, "topic_tags")
+    assert got == want and (0, 0, "french") in got and (5, 2, "spanish") in got and not any(r[0] in (7, 8, 14) for r in got)
+
+
 def test_substring_matches_at_any_number_of_names(spark, monkeypatch):
     from trendloom.operators import catalog as G
 

@@ -7,6 +7,7 @@ similarity ratios. Java patterns carry (?U) where word characters of all scripts
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pandas as pd
@@ -35,6 +36,20 @@ def isin_list(x: Column, values) -> Column:
     return F.array_contains(F.array(*[F.lit(v) for v in values]), x)
 
 
+#: A word character of ASCII, whatever flags stand around it.
+ASCII_WORD = "(?-iu:[0-9A-Za-z_])"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with \\b as in SQL, between ASCII word characters and all else; what Java's takes for a word goes by its version.
+
+    Beside a letter or digit that stands for ASCII alone in either case (s and k do not), one look to the other side tells.
+    """
+    single = re.sub(r"\\b(?=[a-jl-rt-z0-9](?![?*{]))", f"(?<!{ASCII_WORD})", pattern)
+    single = re.sub(r"(?<![\\][a-z])(?<=[a-jl-rt-z0-9])\\b", f"(?!{ASCII_WORD})", single)
+    return single.replace(r"\b", f"(?:(?<={ASCII_WORD})(?!{ASCII_WORD})|(?<!{ASCII_WORD})(?={ASCII_WORD}))")
+
+
 # --- Unicode normal forms (no built-in) -------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scores as S
+from trendloom.functions import text as T
 from trendloom.functions import vocabulary as V
 
 # Pattern and label of topic rules.
@@ -65,14 +66,23 @@ POSITIONING = (
 ORIGINAL_ROLES = ("designer_original", "niche_original", "original")
 
 
-def tag_topics(text: Column, query: Column | None = None, subreddit: Column | None = None, rules=TOPIC_RULES) -> Column:
-    """array<struct<topic_type, topic_text>> of the query, the community and every rule that matches, each once."""
+def tag_topics(text: Column, query: Column | None = None, subreddit: Column | None = None, rules=TOPIC_RULES, ascii_words: bool = False) -> Column:
+    """array<struct<topic_type, topic_text>> of the query, the community and every rule that matches, each once.
+
+    ascii_words says that words and digits are those of ASCII, as in SQL; letters of all scripts match in
+    either case all the same, but the Turkish i with a dot above, or without one, stands for no i.
+    """
     def one(kind, value):
         clean = F.lower(F.trim(value))
         return F.when(F.length(clean) >= 2, F.struct(F.lit(kind).alias("topic_type"), clean.alias("topic_text")))
 
     found = [one(k, v) for k, v in (("query", query), ("subreddit", subreddit)) if v is not None]
-    found += [F.when(text.rlike(f"(?iU){pattern}"), F.struct(F.lit("topic").alias("topic_type"), F.lit(label).alias("topic_text"))) for pattern, label in rules]
+    if ascii_words:
+        text = F.when(text.contains("İ") | text.contains("ı"), F.translate(text, "İı", "¿¿")).otherwise(text)
+        rules = [(f"(?iu){T.ascii_bounds(pattern)}", label) for pattern, label in rules]
+    else:
+        rules = [(f"(?iU){pattern}", label) for pattern, label in rules]
+    found += [F.when(text.rlike(pattern), F.struct(F.lit("topic").alias("topic_type"), F.lit(label).alias("topic_text"))) for pattern, label in rules]
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
