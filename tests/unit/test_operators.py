@@ -206,6 +206,27 @@ def test_topic_distribution_as_in_sql(spark, tmp_path):
     assert got == want and ("english", 4, 800, 0.0712) in got and any(r[1] is not None and r[1] < 0 for r in got)
 
 
+def test_candidate_phrases_as_in_sql(spark, tmp_path):
+    random.seed(5)
+    words = "scent perfume fragrances the of and is best top 10 7 worst to review compares rose amber oud é éedp edp étop we chat far from body spray eau de parfum it would be new fragrance releases out a ñ 12a _x t".split()
+    texts = [" ".join(random.choices(words, k=random.choice((1, 2, 3, 4, 5, 6, 9, 30)))) for _ in range(300)]
+    texts += ["Rose\u00a0Amber\u3000Oud", "İris ΟΔΟΣ ΣΑΣ", "a²b ½ x‿y", "scent " * 8 + "rose", "rose " * 9, "scent " * 6, "perfume perfume top 10 perfume", "Eau de Parfum", "EDP edp rose body  spray", "...", "", " ", None, "ü", "9", "rose\x0bamber\nnoir\ttea"]
+    texts += ["grab them here " + "rose amber oud noir " * 3, "the best of the best of the best", "best review top", "étop 10 rose", "top 10é rose", "top 10a rose"]
+    rows = [(k, k % 3, "user", x) for k, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got, want = _against_sql(spark, tmp_path, "candidate_phrases")
+    assert got == want and len(got) > 5000
+
+
+def test_candidate_phrases_judges_rows_in_compiled_code(spark, sf_dir):
+    """Nothing that stands above the phrases' rows is interpreted, and no filter works the phrases out twice."""
+    from trendloom.plans import catalog
+
+    plan = catalog.QUERIES["candidate_phrases"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.rpartition("Generate explode")
+    assert "lambda" in below and "lambda" not in above and not re.search(r"\bFilter ", below)
+
+
 def test_substring_matches_at_any_number_of_names(spark, monkeypatch):
     from trendloom.operators import catalog as G
 

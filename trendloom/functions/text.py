@@ -50,6 +50,11 @@ def ascii_bounds(pattern: str) -> str:
     return single.replace(r"\b", f"(?:(?<={ASCII_WORD})(?!{ASCII_WORD})|(?<!{ASCII_WORD})(?={ASCII_WORD}))")
 
 
+def any_ascii(patterns) -> str:
+    """One pattern for all of them, with ascii_bounds: each begins with \\b and a letter other than s and k, so the left side is looked at once."""
+    return f"(?<!{ASCII_WORD})(?:{'|'.join(ascii_bounds(p.removeprefix(chr(92) + 'b')) for p in patterns)})"
+
+
 # --- Unicode normal forms (no built-in) -------------------------------------------------
 
 
@@ -101,6 +106,21 @@ def normalized_words(text: Column) -> Column:
     return F.filter(F.split(t, r"(?U)\W+"), lambda w: w != "")
 
 
+def sql_words(text: Column) -> Column:
+    """Lower case, words of letters, digits, marks and underscores of all scripts with one blank between, as SQL has them: each letter is lowered by itself."""
+    single = F.when(text.contains("İ") | text.contains("Σ"), F.translate(text, "İΣ", "iσ")).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(single, F.lit(""))), r"[^\p{L}\p{N}\p{M}_]+", " "))
+
+
+def without_concentration(words: Column) -> Column:
+    """The text of sql_words() without the first concentration term found; most have none, which one look tells."""
+    out = F.when(~words.rlike(any_ascii([p for _, p in V.CONCENTRATION_PATTERNS])), words)
+    for _, pattern in V.CONCENTRATION_PATTERNS:
+        p = ascii_bounds(pattern)
+        out = out.when(words.rlike(p), collapse(F.regexp_replace(words, p, "")))
+    return out
+
+
 def normalize_with_concentration(text: Column) -> Column:
     """struct(text, concentration): the first concentration term found is removed and named."""
     t = collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " "))
@@ -221,7 +241,7 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
 def trim_words(tokens: Column, stop_start, stop_end) -> Column:
     """Tokens without the stop words at either end."""
     def cut(t):
-        marked = lambda stops: F.transform(t, lambda w: ~isin_list(w, stops))
+        marked = lambda stops: F.transform(t, lambda w: ~w.isin(*stops))
         first, tail = F.array_position(marked(stop_start), True), F.array_position(F.reverse(marked(stop_end)), True)
         return let(F.struct(first.alias("a"), tail.alias("b"), (F.size(t) - tail + 1).alias("z")), lambda x: F.when(
             (x["a"] > 0) & (x["b"] > 0) & (x["z"] >= x["a"]),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,46 @@ def valid_phrase(phrase: Column, blocked=(), prefixes=(), stop_starts=V.STOPWORD
     )
 
 
+def phrase_rows(texts: DataFrame, whole: Column, longest: int = 4) -> DataFrame:
+    """One row with phrase and form for each distinct candidate of a text, beside the columns of texts; whole is the text as T.without_concentration() gives it.
+
+    The candidates of T.candidate_phrases(), without their order, and T.proposed_form() of each. An n-gram without the generic
+    words at its ends is an n-gram itself, so those with such a word there only repeat others; what is forbidden in a phrase is
+    so in the whole text, so most texts are looked through once. The rows are then judged by plain columns, since
+    functions of array elements are interpreted for each phrase; the whole text is judged before it becomes a row.
+    """
+    generic, leads = V.GENERIC_PERFUME_WORDS, (*V.STOPWORDS, *V.CONTEXT_LEADS)
+    forbidden = T.any_ascii(V.PHRASE_BLACKLIST)
+    t = texts.withColumn("_s", whole).withColumn("_g1", F.split("_s", " ")).withColumn("_hit", F.col("_s").rlike(forbidden))
+    rest = F.when((F.size("_g1") > longest) & ~F.col("_hit"), T.trim_words(F.col("_g1"), generic, generic))
+    t = t.withColumn("_rest", rest)
+    t = t.withColumn("_whole", F.when(F.exists("_rest", lambda w: ~w.isin(*V.PHRASE_STOP)), F.array_join("_rest", " ")))
+    t = t.withColumn("_form", T.proposed_form(F.col("_whole")))
+    for n in range(1, longest):
+        more = F.greatest(F.size("_g1") - n, F.lit(0))
+        longer = F.zip_with(F.slice(f"_g{n}", 1, more), F.slice("_g1", n + 1, more), lambda a, b: F.concat(a, F.lit(" "), b))
+        t = t.withColumn(f"_g{n + 1}", longer)
+    grams = F.array_distinct(F.concat(*[F.col(f"_g{n}") for n in range(1, longest + 1)], F.array_compact(F.array("_whole"))))
+    t = t.withColumn("_grams", grams)
+    r = t.select(*texts.columns, "_hit", "_form", F.explode_outer("_grams").alias("phrase"))  # never empty; a filter on its size, as explode() has, would work it out twice
+    r = r.select("*", F.explode(F.array(F.split("phrase", " "))).alias("_w"))  # as a row, lest the filter below splits for each of its terms
+
+    n, word = F.size("_w"), [F.get("_w", F.lit(k)) for k in range(longest)]  # null beyond the phrase's end
+    named = functools.reduce(operator.or_, [~w.isin(*V.PHRASE_STOP) for w in word])
+    ends = ~T.isin_list(word[0], generic) & ~T.isin_list(F.element_at("_w", -1), generic)
+    allowed = ~F.col("_hit") | ~F.col("phrase").rlike(forbidden)
+    r = r.where((n > longest) | (ends & (F.length("phrase") >= 2) & named & ((n > 1) | ~F.col("phrase").rlike("^[0-9]+$")) & allowed))
+    first, last = F, F
+    for k in range(longest):
+        first = first.when(~word[k].isin(*leads), k + 1)
+        last = last.when(~word[longest - 1 - k].isin(*V.STOPWORDS), longest - k)
+    r = r.withColumn("_a", F.when(n <= longest, first)).withColumn("_z", F.when(n <= longest, last))
+    a, z = F.col("_a"), F.col("_z")
+    cut = F.array_join(F.slice("_w", a, z - a + 1), " ")
+    form = F.when(n > longest, F.col("_form")).when((a == 1) & (z == n), F.col("phrase")).when(F.length(cut) > 3, cut).otherwise(F.col("phrase"))
+    return r.select(*texts.columns, "phrase", form.alias("form"))
+
+
 def noise_reason(phrase: Column, stop_phrases=(), notes=(), community=V.GENERIC_PERFUME_WORDS) -> Column:
     """First of eleven noise rules that holds, or null."""
     words = T.words_of(phrase)
